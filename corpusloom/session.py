@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,24 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
         b = b.master(master)
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        fd, name = tempfile.mkstemp(prefix="corpusloom-", suffix=".zip")
+        with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(name)
+        _shipped.add(sc.applicationId)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
