@@ -106,8 +106,8 @@ def _candidates(rows: DataFrame, threshold: float, salts: int = 1) -> DataFrame:
     least = int(COORDS * p - 4 * (COORDS * p * (1 - p)) ** 0.5)
     left, right, keys = rows, rows, ["run", "node"]
     if salts > 1:
-        left = rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(salts)))
-        right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        left = rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(salts)).cast("int"))
+        right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys = [*keys, "salt"]
     a, b = left.alias("a"), right.alias("b")
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from corpusloom.llm.split_items import split_oversized
+from corpusloom.llm.vector_knn import similar_vectors
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +24,18 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text", "start_time", "end_time")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = similar_vectors(_t(spark, sf, "chunk_vectors"), "chunk_id", "embedding", k=5, min_similarity=0.86)
+    return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p3_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar of all rows, for the rows whose hashed id is divisible by 100."""
+    v = _t(spark, sf, "chunk_vectors")
+    asked = v.where(F.pmod(F.xxhash64("chunk_id"), F.lit(100)) == 0).select("chunk_id")
+    return similar_vectors(v, "chunk_id", "embedding", k=5, queries=asked, exhaustive=True)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = near_duplicate_pairs(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text", shingle=3, threshold=0.7)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -34,7 +47,7 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
