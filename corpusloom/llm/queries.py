@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from corpusloom.llm.split_items import split_oversized
+from corpusloom.llm.text_quality import text_quality
 from corpusloom.llm.vector_knn import similar_vectors
 
 
@@ -46,8 +47,16 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_statistics(spark, sf).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return text_quality(_t(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p5_found, p5_groups, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
