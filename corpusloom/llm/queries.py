@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.language_id import fit_language_model, language_parts
 from corpusloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from corpusloom.llm.split_items import split_oversized
 from corpusloom.llm.text_quality import text_quality
@@ -37,6 +38,17 @@ def p3_search(spark: SparkSession, sf: str) -> DataFrame:
     return similar_vectors(v, "chunk_id", "embedding", k=5, queries=asked, exhaustive=True)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    wrong = F.col("named").isNull() | (F.col("named") != F.col("lang"))
+    return p4_parts(spark, sf).where(F.col("lang").isNotNull() & ((F.col("parts") > 1) | wrong)).select(F.col("id").alias("request_id"), "lang").distinct()
+
+
+def p4_parts(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _t(spark, sf, "ask_request")
+    model = fit_language_model(asked, "query", "lang_label", _t(spark, sf, "documents"))
+    return language_parts(asked, "request_id", "query", "lang_label", model)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = near_duplicate_pairs(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text", shingle=3, threshold=0.7)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -56,7 +68,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p5_found, p5_groups, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
