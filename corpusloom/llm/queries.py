@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.language_id import fit_language_model, language_parts
+from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from corpusloom.llm.split_items import split_oversized
 from corpusloom.llm.text_quality import text_quality
@@ -59,6 +60,14 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_passages(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p7_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "eval_passages"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_statistics(spark, sf).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
@@ -68,7 +77,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p7_found, p7_passages, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
