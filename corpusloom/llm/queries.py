@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.language_id import fit_language_model, language_parts
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from corpusloom.llm.pair_defects import pair_defects
 from corpusloom.llm.split_items import split_oversized
 from corpusloom.llm.text_quality import text_quality
 from corpusloom.llm.vector_knn import similar_vectors
@@ -27,6 +28,12 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text", "start_time", "end_time")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _t(spark, sf, "test_query").select(F.col("query_id").alias("pair_id"), "question", F.col("ground_truth").alias("answer"))
+    answered = _t(spark, sf, "answer_eval").select(F.col("answer_id").alias("pair_id"), "question", "answer")
+    return pair_defects(asked.unionByName(answered), "pair_id", "question", "answer")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     near = similar_vectors(_t(spark, sf, "chunk_vectors"), "chunk_id", "embedding", k=5, min_similarity=0.86)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
@@ -77,7 +84,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p7_found, p7_passages, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p7_found, p7_passages, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
