@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bin_packing import fill, pack_texts
 from corpusloom.llm.language_id import fit_language_model, language_parts
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -67,6 +68,14 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, sf, "transcript_v3"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_texts(_t(spark, sf, "documents"), "doc_id", "text", capacity=2048)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill(p6_containers(spark, sf), capacity=2048)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_passages(spark, sf).select("doc_id", "item_id").distinct()
 
@@ -84,7 +93,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p7_found, p7_passages, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_search, p4_found, p4_parts, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_passages, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
