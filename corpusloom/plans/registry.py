@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import chunks, evaluation, retrieval
+from corpusloom.plans import chunks, evaluation, events, retrieval
 
-_PARTS = [chunks, retrieval, evaluation]
+_PARTS = [chunks, retrieval, evaluation, events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
