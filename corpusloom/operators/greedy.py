@@ -38,22 +38,22 @@ def dense_positions(df: DataFrame, key: str, order: str, out: str = "pos") -> Da
     return r.withColumn("_i", F.row_number().over(w)).join(offsets, [key, "_range"]).withColumn(out, (F.col("_off") + F.col("_i") - 1).cast("bigint")).drop("_range", "_i", "_off")
 
 
-def greedy_spans(rows: DataFrame, key: str, columns: list[str], step: Step, carries: int = 1) -> DataFrame:
+def greedy_spans(rows: DataFrame, key: str, columns: list[str], step: Step, carries: int = 1, size: int = BLOCK, reach: int = REACH) -> DataFrame:
     """``(key, first, pos, span)``: the rows ``pos`` of each span, which takes new rows from
     ``first``; ``span`` counts from 0 within the key. ``rows`` has (key, pos, columns). A span's
     ``carry`` rows before ``first`` belong to it too."""
     base = rows.select(F.col(key).alias("k"), "pos", *columns)
     total = base.groupBy("k").agg((F.max("pos") + 1).alias("total"))
-    own = F.floor(F.col("pos") / BLOCK)
-    halo = F.when(F.col("pos") % BLOCK < REACH, F.array(own, own - 1))
-    halo = F.when(F.col("pos") % BLOCK >= BLOCK - carries, F.array(own, own + 1)).otherwise(F.coalesce(halo, F.array(own)))
+    own = F.floor(F.col("pos") / size)
+    halo = F.when(F.col("pos") % size < reach, F.array(own, own - 1))
+    halo = F.when(F.col("pos") % size >= size - carries, F.array(own, own + 1)).otherwise(F.coalesce(halo, F.array(own)))
     seen = base.withColumn("block", F.explode(halo)).where("block >= 0").join(total, "k")
 
     def walk(pdf: pd.DataFrame) -> tuple[dict[str, np.ndarray], int, int, int, int]:
         pdf = pdf.sort_values("pos")
         block, end = int(pdf["block"].iloc[0]), int(pdf["total"].iloc[0])
         low = int(pdf["pos"].iloc[0])
-        return {c: pdf[c].to_numpy() for c in columns}, low, block * BLOCK, min(end, (block + 1) * BLOCK), end
+        return {c: pdf[c].to_numpy() for c in columns}, low, block * size, min(end, (block + 1) * size), end
 
     def forward(cols: dict[str, np.ndarray], low: int, pos: int, carry: int, end: int) -> tuple[int, int]:
         e, c = step(cols, pos - low, carry, end == low + len(next(iter(cols.values()))))
@@ -62,7 +62,7 @@ def greedy_spans(rows: DataFrame, key: str, columns: list[str], step: Step, carr
     def maps(pdf: pd.DataFrame) -> pd.DataFrame:
         cols, low, start, stop, end = walk(pdf)
         memo: dict[tuple[int, int], tuple[int, int]] = {}
-        entries = [(start, 0)] if start == 0 else [(p, c) for p in range(start, min(start + REACH, stop)) for c in range(carries)]
+        entries = [(start, 0)] if start == 0 else [(p, c) for p in range(start, min(start + reach, stop)) for c in range(carries)]
         out = []
         for state in entries:
             path, s = [], state
@@ -72,7 +72,7 @@ def greedy_spans(rows: DataFrame, key: str, columns: list[str], step: Step, carr
             leave = memo.get(s, s)
             for p in path:
                 memo[p] = leave
-            out.append((pdf["k"].iloc[0], start // BLOCK, *state, *leave))
+            out.append((pdf["k"].iloc[0], start // size, *state, *leave))
         return pd.DataFrame(out, columns=["k", "block", "pos", "carry", "to_pos", "to_carry"])
 
     kind = rows.schema[key].dataType.simpleString()
@@ -82,7 +82,7 @@ def greedy_spans(rows: DataFrame, key: str, columns: list[str], step: Step, carr
         table = {(p, c): (tp, tc) for p, c, tp, tc in zip(pdf["pos"], pdf["carry"], pdf["to_pos"], pdf["to_carry"])}
         out, s = [], (0, 0)
         while s in table:
-            out.append((pdf["k"].iloc[0], s[0] // BLOCK, *s))
+            out.append((pdf["k"].iloc[0], s[0] // size, *s))
             s = table[s]
         return pd.DataFrame(out, columns=["k", "block", "pos", "carry"])
 
