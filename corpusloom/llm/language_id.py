@@ -33,6 +33,8 @@ PART_WORDS, PART_EVIDENCE = 3, 4.0
 #: Least evidence for a text to have a language at all.
 TEXT_EVIDENCE = 1.2
 CLIP = 4.0
+#: Scores that a task remembers before it starts afresh.
+MEMO_WORDS = 200_000
 #: A content word with at least this share (log) in a second language is a term used in both.
 TERM_SHARE, TERM_WEIGHT = -3.0, 0.1
 UNKNOWN_WEIGHT = 0.3
@@ -138,6 +140,7 @@ class LanguageModel:
                 for f in {w, fold(w)} if lang == "vi" else {w}:
                     counts[f][i] += total[i] * 2e-4
         known = {w for ws in FUNCTION_WORDS.values() for w in ws} | {fold(w) for w in FUNCTION_WORDS["vi"]}
+        self._known: dict[str, tuple[float, ...]] = {}
         self.words, grams = {}, defaultdict(lambda: [0.0] * len(LANGS))
         for w, c in counts.items():
             if sum(c) >= 2:
@@ -159,7 +162,16 @@ class LanguageModel:
         top = max(logs)
         return tuple(max(-CLIP, x - top) for x in logs)
 
-    def score(self, word: str) -> list[float]:
+    def score(self, word: str) -> tuple[float, ...]:
+        """Log shares of the languages, the best at 0; words met before are remembered."""
+        s = self._known.get(word)
+        if s is None:
+            if len(self._known) >= MEMO_WORDS:
+                self._known.clear()
+            s = self._known[word] = tuple(self._score(word))
+        return s
+
+    def _score(self, word: str) -> list[float]:
         s = self.words.get(word)
         if s is None:
             gs = [g for g in map(self.grams.get, _trigrams(word)) if g]
