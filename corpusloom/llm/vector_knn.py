@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.flat_text import mix
-from corpusloom.session import stable
+from corpusloom.session import stable, written
 
 TRAIN_ROWS = 20_000
 CELL_ROWS = 300
@@ -217,28 +217,28 @@ def similar_vectors(
                 x = x.astype(np.float32)
                 c, p = index.encode(x), index.cells(x, width).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in c], pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())],
+                    [part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in c], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))],
                     names=["id", "th", "h1", "h2", "code", "cells"],
                 )
 
-    coded = rows.mapInArrow(code, "id string, th long, h1 long, h2 long, code binary, cells binary")
+    coded = rows.mapInArrow(code, "id string, th long, h1 long, h2 long, code binary, cells array<int>")
     if queries is not None:
         asked = queries.select(F.col(queries.columns[0]).cast("string").alias("id")).distinct().withColumn("asked", F.lit(1))
         coded = coded.join(asked, "id", "left")
     else:
         coded = coded.withColumn("asked", F.lit(1))
-    coded = stable(coded)
+    coded = written(coded)
     vecs = coded.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("code").alias("code"), F.first("cells").alias("cells"), F.max("asked").alias("asked"))
-    vecs = stable(vecs.withColumn("v", F.monotonically_increasing_id()))
+    vecs = written(vecs.withColumn("v", F.monotonically_increasing_id()))
     members = coded.select("id", "h1", "h2", "asked").join(vecs.select("h1", "h2", "v"), ["h1", "h2"]).select("v", "id", "asked").distinct()
 
     # cells above BLOCK rows: at most rows / BLOCK of them
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, counts = np.unique([np.frombuffer(x, np.int32, 1)[0] for x in b.column(0).to_pylist()], return_counts=True)
+            cells, counts = np.unique(b.column(0).to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["cell", "c"])
 
-    hot = {r["cell"]: int(np.ceil(r["s"] / BLOCK)) for r in vecs.select("cells").mapInArrow(homes, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("s")).where(F.col("s") > BLOCK).collect()}
+    hot = {r["cell"]: int(np.ceil(r["s"] / BLOCK)) for r in vecs.select(F.get("cells", F.lit(0))).mapInArrow(homes, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("s")).where(F.col("s") > BLOCK).collect()}
     code_bytes = len(index.encode(sample[:1].astype(np.float32))[0])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def similar_vectors(
         for b in batches:
             v = b.column(0).to_numpy()
             c = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, code_bytes)
-            p = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32).reshape(len(v), -1)
+            p = b.column(2).flatten().to_numpy().reshape(len(v), -1)
             asked = np.flatnonzero(~np.isnan(b.column(3).to_numpy(zero_copy_only=False).astype(np.float64)))
             at = np.concatenate((np.arange(len(v)), np.repeat(asked, p.shape[1])))
             cell = np.concatenate((p[:, 0], p[asked].ravel())).astype(np.int64)
