@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from corpusloom.functions import rules as R
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking as C
 from corpusloom.operators import dedupe as D
+from corpusloom.operators import plugins as M
 from corpusloom.operators import reports as P
 from corpusloom.operators import vectors as V
 from corpusloom.operators.greedy import dense_positions
 from corpusloom.plans.tables import ANSWERS, CHUNKS, WORDS, answers, chunks, table
+from corpusloom.session import stable
 
 Q, S = {}, {}
 
@@ -484,3 +488,29 @@ def course_filters(spark, sf) -> DataFrame:
 S["course_filters"] = """WITH r AS (SELECT DISTINCT request_id, course_filter FROM ask_request WHERE course_filter IS NOT NULL)
     SELECT request_id, unnest(CASE WHEN starts_with(trim(course_filter), '[') THEN from_json(course_filter, '["VARCHAR"]') ELSE [course_filter] END) AS course FROM r"""
 
+
+
+@query
+def chunk_coherence(spark, sf) -> DataFrame:
+    """Cosine of the halves of each chunk by the hashing stand-in."""
+    return M.coherence(chunks(spark, sf), "chunk_id", "chunk_text", M.hashing_embedder())
+
+
+@query
+def merge_sweep(spark, sf) -> DataFrame:
+    """Chunks that remain at each merge threshold."""
+    s = stable(_with_similarity(spark, sf))
+    parts = [C.merge_embedding(s, t).agg(F.count("*").alias("chunks")).withColumn("threshold", F.lit(t)) for t in (0.55, 0.65, 0.72, 0.80)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def document_projection(spark, sf) -> DataFrame:
+    """Documents as the index takes them: a sure id and fields with defaults."""
+    c = F.col
+    e = lambda n: F.coalesce(c(n), F.lit("")).alias(n)
+    return chunks(spark, sf).where(F.length("chunk_text") > 0).select(M.document_id(c("chunk_id"), c("video_id"), c("chunk_index"), c("chunk_index")).alias("doc_id"), e("title"), e("course"), e("playlist_id"), e("source"), e("url"), F.coalesce("start_time", F.lit(0.0)).alias("start_time"), F.left("chunk_text", F.lit(200)).alias("head"))
+
+
+S["document_projection"] = f"""WITH {CHUNKS} SELECT CASE WHEN chunk_id <> '' THEN chunk_id ELSE coalesce(video_id, 'unknown_video') || ':chunk:' || chunk_index END AS doc_id, coalesce(title, '') AS title, coalesce(course, '') AS course,
+    coalesce(playlist_id, '') AS playlist_id, coalesce(source, '') AS source, coalesce(url, '') AS url, coalesce(start_time, 0.0) AS start_time, substring(chunk_text, 1, 200) AS head FROM chunks WHERE length(chunk_text) > 0"""

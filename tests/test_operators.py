@@ -178,3 +178,14 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.parquet_stream(spark, str(src)), str(tmp_path / "rows"), str(tmp_path / "ledger"), "k", str(tmp_path / "cp"))
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["a", "b"]
+
+
+def test_plugins(spark):
+    from corpusloom.operators import plugins
+
+    df = spark.createDataFrame([("a", "one two. one two. " * 10), ("s", "too short"), ("n", None)], "id string, t string")
+    got = {r["id"]: (r["coherence"], r["incoherent"]) for r in plugins.coherence(df, "id", "t", plugins.hashing_embedder()).collect()}
+    assert got == {"a": (1.0, False)}
+    row = spark.createDataFrame([("o", "", "e", None, None, 3)], "o string, l string, e string, c string, v string, i int")
+    r = row.select(plugins.rerank_query(F.col("o"), F.col("l"), F.col("e")).alias("q"), plugins.document_id(F.col("c"), F.col("v"), F.col("i"), F.lit(9)).alias("d")).first()
+    assert tuple(r) == ("e", "unknown_video:chunk:3")
