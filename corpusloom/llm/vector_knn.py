@@ -14,6 +14,9 @@ sums of table entries (four-bit code against four-bit code) of all queries and v
 at once as a product of decoded blocks, which are the same sums. The best candidates get
 their exact cosine from the vectors themselves. A cell above ``BLOCK`` rows is cut into blocks
 of vectors and of queries, each pair of blocks a group of its own, so none grows with the data.
+
+An exhaustive search makes no use of the index: blocks of all vectors and of the queries are compared
+exactly, so nothing depends on how far a code can be trusted.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from corpusloom.session import stable, written
 TRAIN_ROWS = 20_000
 CELL_ROWS = 300
 BLOCK = 4096
+#: Vectors of a block of the exhaustive search.
+SCAN_BLOCK = 16384
 SUB = 2
 #: Weight of the parallel residual; ScaNN's ratio (d - 1) t^2 / (1 - t^2) for t = 0.25, d = 64.
 PARALLEL_WEIGHT = 4.2
@@ -158,79 +163,51 @@ def _matrix(col: pa.ListArray, dim: int | None) -> tuple[np.ndarray, np.ndarray]
     return x / np.linalg.norm(x, axis=1, keepdims=True), at
 
 
+def _nearest(dim: int, k: int, floor: float | None):
+    """The ``k`` most similar vectors (role 0) of each query (role 1) of a group, from the vectors themselves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        role, v = table.column("role").to_numpy(), table.column("v").to_numpy()
+        x, at = _matrix(table.column("vec").combine_chunks(), dim)
+        role, v = role[at], v[at]
+        docs, dv, asked, qv = x[role == 0], v[role == 0], x[role == 1], v[role == 1]
+        out = []
+        for lo in range(0, len(qv) if len(dv) else 0, 256):
+            q = qv[lo : lo + 256]
+            s = np.clip(asked[lo : lo + 256] @ docs.T, -1.0, 1.0)
+            s[q[:, None] == dv] = -2.0
+            t = min(k, s.shape[1])
+            least = np.maximum(-np.partition(-s, t - 1, axis=1)[:, t - 1], -1.0 if floor is None else floor)
+            i, j = np.nonzero(s >= least[:, None])
+            order = np.lexsort((dv[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((q[i[keep]], dv[j[keep]], s[i[keep], j[keep]]))
+        cat = lambda c, t: np.concatenate([o[c] for o in out]) if out else np.empty(0, t)
+        return pa.table({"v": pa.array(cat(0, np.int64)), "w": pa.array(cat(1, np.int64)), "similarity": pa.array(cat(2, np.float64))})
+
+    return run
+
+
+def _compare_all(vecs: DataFrame, dim: int, k: int) -> DataFrame:
+    """``(v, w, similarity)``: the ``k`` nearest of all ``vecs(v, asked, vec)`` for those asked, by blocks."""
+    n, asked = vecs.agg(F.count("*"), F.count("asked")).first()
+    vbs, qbs = -(-n // SCAN_BLOCK) or 1, -(-asked // BLOCK) or 1
+    own = lambda blocks: F.pmod(F.xxhash64("v"), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    docs = vecs.select(own(vbs).alias("vb"), every(qbs).alias("qb"), F.lit(0).alias("role"), "v", "vec")
+    ask = vecs.where("asked is not null").select(every(vbs).alias("vb"), own(qbs).alias("qb"), F.lit(1).alias("role"), "v", "vec")
+    return docs.unionByName(ask).groupBy("vb", "qb").applyInArrow(_nearest(dim, k, None), "v long, w long, similarity double")
+
+
 def probes_for(rows: int) -> int:
     """Cells looked up per vector. Grows slowly, as the rank of a near neighbour's cell does."""
     return max(8, int(np.ceil(6 * max(1.0, rows / CELL_ROWS) ** 0.16)))
 
 
-def similar_vectors(
-    df: DataFrame,
-    id_col: str,
-    vec_col: str,
-    k: int = 5,
-    min_similarity: float | None = None,
-    queries: DataFrame | None = None,
-    exhaustive: bool = False,
-    probes: int | None = None,
-    per_block: int | None = None,
-    rerank: int = 100,
-) -> DataFrame:
-    """``(id, neighbour, similarity, rank)``: the ``k`` most similar other rows of each row.
-
-    ``queries(id)`` restricts the rows that are looked up, never those that are found.
-    ``min_similarity`` leaves out neighbours below it, which lets few cells suffice.
-    ``exhaustive`` scans the codes of all rows. ``per_block`` candidates of each query and
-    block go on (40 with a floor, else about four times an even share of ``rerank``); without a
-    floor the ``rerank`` best by code of each query are reranked. Ties go to the smaller id.
-
-    Null ids and null, all-zero, non-finite or wrongly sized vectors have no neighbours and are
-    none. Repeated rows count once, by id; an id with several vectors has the neighbours of each.
-    Equal vectors are one throughout and expanded at the end. An empty table gives an empty one.
-    Other columns are ignored.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and vec is not null").withColumn("th", F.xxhash64("vec"))
-    n = rows.count()
-    share = min(1.0, 1.2 * TRAIN_ROWS / max(n, 1))
-    taken = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("vec").limit(TRAIN_ROWS).toArrow()
-    out = "id string, neighbour string, similarity double, rank int"
-    if not taken.num_rows and n:
-        taken = rows.select("vec").limit(TRAIN_ROWS).toArrow()
-    sample, _ = _matrix(taken.column(0).combine_chunks(), None) if taken.num_rows else (np.empty((0, 1)), None)
-    if not len(sample):
-        return spark.createDataFrame([], out)
-    index = Index(sample.astype(np.float32), n, cells=not exhaustive)
-    dim, width = index.dim, probes or (1 if exhaustive else probes_for(n))
-    keep = per_block or (40 if min_similarity is not None else min(rerank, max(12, 4 * rerank * BLOCK // max(n, 1))))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                x, at = _matrix(part.column(1), dim)
-                if not len(at):
-                    continue
-                raw = np.round(x * (1 << 22)).astype(np.int64).view(np.uint64)
-                salt = mix(np.arange(1, dim + 1, dtype=np.uint64))
-                h1 = mix(raw ^ salt).sum(axis=1, dtype=np.uint64)
-                h2 = mix(raw + salt * np.uint64(3)).sum(axis=1, dtype=np.uint64)
-                x = x.astype(np.float32)
-                c, p = index.encode(x), index.cells(x, width).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in c], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))],
-                    names=["id", "th", "h1", "h2", "code", "cells"],
-                )
-
-    coded = rows.mapInArrow(code, "id string, th long, h1 long, h2 long, code binary, cells array<int>")
-    if queries is not None:
-        asked = queries.select(F.col(queries.columns[0]).cast("string").alias("id")).distinct().withColumn("asked", F.lit(1))
-        coded = coded.join(asked, "id", "left")
-    else:
-        coded = coded.withColumn("asked", F.lit(1))
-    coded = written(coded)
-    vecs = coded.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("code").alias("code"), F.first("cells").alias("cells"), F.max("asked").alias("asked"))
-    vecs = written(vecs.withColumn("v", F.monotonically_increasing_id()))
-    members = coded.select("id", "h1", "h2", "asked").join(vecs.select("h1", "h2", "v"), ["h1", "h2"]).select("v", "id", "asked").distinct()
+def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.ndarray, k: int, min_similarity: float | None, keep: int, rerank: int) -> DataFrame:
+    """``(v, w, similarity)``, in both directions: the pairs whose codes are alike within a probed cell."""
+    dim = index.dim
 
     # cells above BLOCK rows: at most rows / BLOCK of them
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +309,91 @@ def similar_vectors(
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[ok])), b.column(1).take(pa.array(at[ok])), pa.array(s[ok])], names=["x", "y", "similarity"])
 
     scored = stable(both.mapInArrow(exact, "x long, y long, similarity double"))
+    return scored.select(F.col("x").alias("v"), F.col("y").alias("w"), "similarity").unionByName(scored.select(F.col("y").alias("v"), F.col("x").alias("w"), "similarity"))
+
+
+def similar_vectors(
+    df: DataFrame,
+    id_col: str,
+    vec_col: str,
+    k: int = 5,
+    min_similarity: float | None = None,
+    queries: DataFrame | None = None,
+    exhaustive: bool = False,
+    probes: int | None = None,
+    per_block: int | None = None,
+    rerank: int = 100,
+) -> DataFrame:
+    """``(id, neighbour, similarity, rank)``: the ``k`` most similar other rows of each row.
+
+    ``queries(id)`` restricts the rows that are looked up, never those that are found.
+    ``min_similarity`` leaves out neighbours below it, which lets few cells suffice.
+    ``exhaustive`` compares with all rows exactly and has no use for ``min_similarity`` as a filter of
+    cells, ``probes``, ``per_block`` or ``rerank``. ``per_block`` candidates of each query and
+    block go on (40 with a floor, else about four times an even share of ``rerank``); without a
+    floor the ``rerank`` best by code of each query are reranked. Ties go to the smaller id.
+
+    Null ids and null, all-zero, non-finite or wrongly sized vectors have no neighbours and are
+    none. Repeated rows count once, by id; an id with several vectors has the neighbours of each.
+    Equal vectors are one throughout and expanded at the end. An empty table gives an empty one.
+    Other columns are ignored.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and vec is not null").withColumn("th", F.xxhash64("vec"))
+    n = rows.count()
+    share = min(1.0, 1.2 * TRAIN_ROWS / max(n, 1))
+    taken = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("vec").limit(TRAIN_ROWS).toArrow()
+    out = "id string, neighbour string, similarity double, rank int"
+    if not taken.num_rows and n:
+        taken = rows.select("vec").limit(TRAIN_ROWS).toArrow()
+    sample, _ = _matrix(taken.column(0).combine_chunks(), None) if taken.num_rows else (np.empty((0, 1)), None)
+    if not len(sample):
+        return spark.createDataFrame([], out)
+    index = None if exhaustive else Index(sample.astype(np.float32), n)
+    dim, width = sample.shape[1], probes or probes_for(n)
+    keep = per_block or (40 if min_similarity is not None else min(rerank, max(12, 4 * rerank * BLOCK // max(n, 1))))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                x, at = _matrix(part.column(1), dim)
+                if not len(at):
+                    continue
+                raw = np.round(x * (1 << 22)).astype(np.int64).view(np.uint64)
+                salt = mix(np.arange(1, dim + 1, dtype=np.uint64))
+                h1 = mix(raw ^ salt).sum(axis=1, dtype=np.uint64)
+                h2 = mix(raw + salt * np.uint64(3)).sum(axis=1, dtype=np.uint64)
+                x = x.astype(np.float32)
+                if index is None:
+                    c, p = np.empty((len(x), 0), np.uint8), np.zeros((len(x), 1), np.int32)
+                else:
+                    c, p = index.encode(x), index.cells(x, width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([r.tobytes() for r in c], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))],
+                    names=["id", "th", "h1", "h2", "code", "cells"],
+                )
+
+    coded = rows.mapInArrow(code, "id string, th long, h1 long, h2 long, code binary, cells array<int>")
+    if queries is not None:
+        asked = queries.select(F.col(queries.columns[0]).cast("string").alias("id")).distinct().withColumn("asked", F.lit(1))
+        coded = coded.join(asked, "id", "left")
+    else:
+        coded = coded.withColumn("asked", F.lit(1))
+    coded = written(coded)
+    vecs = coded.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("code").alias("code"), F.first("cells").alias("cells"), F.max("asked").alias("asked"))
+    vecs = written(vecs.withColumn("v", F.monotonically_increasing_id()))
+    members = coded.select("id", "h1", "h2", "asked").join(vecs.select("h1", "h2", "v"), ["h1", "h2"]).select("v", "id", "asked").distinct()
+
+    if exhaustive:
+        held = vecs.select("v", "asked", "rep").join(rows.dropDuplicates(["id", "th"]), (F.col("rep.id") == rows["id"]) & (F.col("rep.th") == rows["th"])).select("v", "asked", "vec")
+        directed = _compare_all(held, dim, k)
+        if min_similarity is not None:
+            directed = directed.where(F.col("similarity") >= min_similarity)
+    else:
+        directed = _compare_cells(vecs, rows, index, sample, k, min_similarity, keep, rerank)
     ask = vecs.where("asked is not null").select("v")
-    directed = scored.select(F.col("x").alias("v"), F.col("y").alias("w"), "similarity").unionByName(scored.select(F.col("y").alias("v"), F.col("x").alias("w"), "similarity")).join(ask, "v", "left_semi")
-    directed = directed.unionByName(ask.select("v", F.col("v").alias("w"), F.lit(1.0).alias("similarity")))  # copies of the vector itself
+    directed = directed.join(ask, "v", "left_semi").unionByName(ask.select("v", F.col("v").alias("w"), F.lit(1.0).alias("similarity")))  # copies of the vector itself
     best = Window.partitionBy("v").orderBy(F.desc("similarity"), "w")
     directed = directed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     first_ids = members.select("v", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)

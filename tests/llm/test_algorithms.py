@@ -119,6 +119,24 @@ def test_exhaustive_search_recall(spark):
     assert total == 5 * asked.count() and hit / total >= 0.9
 
 
+def test_exhaustive_search_is_exact_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12000, 64)).astype(np.float32)
+    x[4000:8000] = x[0] + rng.normal(size=(4000, 64)) * 0.3  # a third near one vector, closer than codes can tell
+    df = spark.createDataFrame([(f"v{i:05d}", [float(a) for a in r]) for i, r in enumerate(x)], "chunk_id string, embedding array<float>")
+    asked = df.where("substr(chunk_id, 5, 2) = '00'").select("chunk_id")
+    monkeypatch.setattr(vector_knn, "SCAN_BLOCK", 5000, raising=False)
+    monkeypatch.setattr(vector_knn, "BLOCK", 50)
+    got = {(r["id"], r["neighbour"]) for r in vector_knn.similar_vectors(df, "chunk_id", "embedding", 5, queries=asked, exhaustive=True).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 12000, 100):
+        s = u @ u[q]
+        s[q] = -2
+        want |= {(f"v{q:05d}", f"v{j:05d}") for j in np.argsort(-s)[:5]}
+    assert got == want
+
+
 def test_vectors_empty(spark):
     df = vec_frame(spark, np.empty((0, 4)))
     assert vector_knn.similar_vectors(df, "chunk_id", "embedding", 5).count() == 0
