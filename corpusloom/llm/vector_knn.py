@@ -41,6 +41,7 @@ SUB = 2
 PARALLEL_WEIGHT = 4.2
 #: Error allowed for the score of two four-bit codes when a similarity floor is given.
 MARGIN = 0.17
+_GROUP = (("cell", pa.int64()), ("vb", pa.int32()), ("qb", pa.int32()))
 
 
 class Index:
@@ -252,7 +253,7 @@ def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.nd
 
     floor = None if min_similarity is None else min_similarity - MARGIN
 
-    def scan(table: pa.Table) -> pa.Table:
+    def scan(key: tuple, table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
         vs, cs = table.column("vs").to_pylist(), table.column("cs").to_pylist()
         v, c = {}, {}
@@ -260,7 +261,7 @@ def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.nd
             at = np.flatnonzero(role == r)
             v[r] = np.frombuffer(b"".join(vs[i] for i in at), np.int64)
             c[r] = index.decode(np.frombuffer(b"".join(cs[i] for i in at), np.uint8).reshape(-1, code_bytes)) if len(at) else None
-        qs, ds, sc = [], [], []
+        qs, ds, sc, dense = [], [], [], [np.empty(0, np.int64)]
         for lo in range(0, len(v[1]) if len(v[0]) else 0, 2048):
             s = c[1][lo : lo + 2048] @ c[0].T
             q = v[1][lo : lo + 2048]
@@ -270,12 +271,10 @@ def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.nd
                 w = s.ravel()[hit]
                 other = q[i] != v[0][j]
                 i, j, w = i[other], j[other], w[other]
-                if len(i) and np.bincount(i).max() > keep:
-                    order = np.lexsort((-w, i))
-                    i, j, w = i[order], j[order], w[order]
-                    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-                    within = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < keep
-                    i, j, w = i[within], j[within], w[within]
+                many = np.bincount(i, minlength=len(q)) > keep  # codes can't tell these hits apart
+                dense.append(q[many])
+                few = ~many[i]
+                i, j, w = i[few], j[few], w[few]
             else:
                 t = min(keep + 1, s.shape[1])
                 best = np.argpartition(-s, t - 1, axis=1)[:, :t] if t < s.shape[1] else np.tile(np.arange(t), (len(q), 1))
@@ -287,13 +286,21 @@ def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.nd
             ds.append(v[0][j])
             sc.append(w)
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        return pa.table({"q": pa.array(cat(qs, np.int64)), "d": pa.array(cat(ds, np.int64)), "score": pa.array(cat(sc, np.float32), pa.float32())})
+        qs, ds, sc, whole = cat(qs, np.int64), cat(ds, np.int64), cat(sc, np.float32), np.concatenate(dense)
+        pairs = pa.table({"q": pa.array(qs), "d": pa.array(ds), "score": pa.array(sc, pa.float32()), **{c: pa.nulls(len(qs), t) for c, t in _GROUP}})
+        marks = pa.table({"q": pa.array(whole), "d": pa.nulls(len(whole), pa.int64()), "score": pa.nulls(len(whole), pa.float32()), **{c: pa.array(np.full(len(whole), x.as_py()), t) for (c, t), x in zip(_GROUP, key)}})
+        return pa.concat_tables([pairs, marks])
 
     packed = vecs.select("v", "code", "cells", "asked").mapInArrow(spread, "cell long, vb int, qb int, role byte, vs binary, cs binary")
-    found = packed.groupBy("cell", "vb", "qb").applyInArrow(scan, "q long, d long, score float")
+    found = packed.groupBy("cell", "vb", "qb").applyInArrow(scan, "q long, d long, score float, cell long, vb int, qb int")
+    dense = None
     if floor is None:
         w = Window.partitionBy("q").orderBy(F.desc("score"), "d")
         found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank)
+    else:
+        found = written(found)
+        dense = found.where("d is null").select(F.col("q").alias("v"), "cell", "vb", "qb")
+        found = found.where("d is not null")
     pairs = stable(found.select(F.least("q", "d").alias("x"), F.greatest("q", "d").alias("y")).distinct())
 
     ends = pairs.select("x", "y", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("v")), F.struct(F.lit(1).alias("side"), F.col("y").alias("v")))).alias("e")).select("x", "y", "e.side", "e.v")
@@ -309,7 +316,24 @@ def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.nd
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[ok])), b.column(1).take(pa.array(at[ok])), pa.array(s[ok])], names=["x", "y", "similarity"])
 
     scored = stable(both.mapInArrow(exact, "x long, y long, similarity double"))
-    return scored.select(F.col("x").alias("v"), F.col("y").alias("w"), "similarity").unionByName(scored.select(F.col("y").alias("v"), F.col("x").alias("w"), "similarity"))
+    both_ways = scored.select(F.col("x").alias("v"), F.col("y").alias("w"), "similarity").unionByName(scored.select(F.col("y").alias("v"), F.col("x").alias("w"), "similarity"))
+    if dense is None or dense.isEmpty():
+        return both_ways
+
+    # queries with many hits in a block of a cell: that block is compared exactly
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, cell = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            blocks = np.array([hot.get(int(x), 1) for x in cell], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell), pa.array((mix(v.view(np.uint64)) % blocks).astype(np.int32))], names=["v", "cell", "vb"])
+
+    homes_of = vecs.select("v", F.get("cells", F.lit(0)).alias("cell")).mapInArrow(home, "v long, cell long, vb int")
+    docs = homes_of.join(dense.select("cell", "vb", "qb").distinct(), ["cell", "vb"]).withColumn("role", F.lit(0))
+    group = docs.unionByName(dense.withColumn("role", F.lit(1))).join(vecs.select("v", "rep"), "v")
+    group = group.join(rows.dropDuplicates(["id", "th"]), (F.col("rep.id") == rows["id"]) & (F.col("rep.th") == rows["th"])).select("cell", "vb", "qb", "role", "v", "vec")
+    exactly = group.groupBy("cell", "vb", "qb").applyInArrow(_nearest(dim, k, min_similarity), "v long, w long, similarity double")
+    back = exactly.select(F.col("w").alias("v"), F.col("v").alias("w"), "similarity")
+    return both_ways.unionByName(exactly).unionByName(back).groupBy("v", "w").agg(F.max("similarity").alias("similarity"))
 
 
 def similar_vectors(
@@ -329,9 +353,10 @@ def similar_vectors(
     ``queries(id)`` restricts the rows that are looked up, never those that are found.
     ``min_similarity`` leaves out neighbours below it, which lets few cells suffice.
     ``exhaustive`` compares with all rows exactly and has no use for ``min_similarity`` as a filter of
-    cells, ``probes``, ``per_block`` or ``rerank``. ``per_block`` candidates of each query and
-    block go on (40 with a floor, else about four times an even share of ``rerank``); without a
-    floor the ``rerank`` best by code of each query are reranked. Ties go to the smaller id.
+    cells, ``probes``, ``per_block`` or ``rerank``. With a floor, all candidates of a query in a block go on, and where
+    they are more than ``per_block`` (40) the query is compared with the whole block exactly. Without one,
+    ``per_block`` of each query and block (about four times an even share of ``rerank``) go on and
+    the ``rerank`` best by code are reranked, an approximation. Ties go to the smaller id.
 
     Null ids and null, all-zero, non-finite or wrongly sized vectors have no neighbours and are
     none. Repeated rows count once, by id; an id with several vectors has the neighbours of each.

@@ -137,6 +137,18 @@ def test_exhaustive_search_is_exact_at_any_size(spark, monkeypatch):
     assert got == want
 
 
+def test_dense_group_above_a_floor_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64)).astype(np.float32)
+    x[500:1200] = x[0] + rng.normal(size=(700, 64)) * 0.23  # mutual cosine of about 0.95
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.86}
+    got = {(r["id"], r["neighbour"]) for r in vector_knn.similar_vectors(vec_frame(spark, x), "chunk_id", "embedding", 5, min_similarity=0.86).collect()}
+    assert len(want) > 3000 and got == want
+
+
 def test_vectors_empty(spark):
     df = vec_frame(spark, np.empty((0, 4)))
     assert vector_knn.similar_vectors(df, "chunk_id", "embedding", 5).count() == 0
