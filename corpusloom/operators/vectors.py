@@ -28,7 +28,8 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k:
 
     The query set goes to the tasks in blocks; each batch of rows keeps its own k best per query, so
     k rows per query and batch are all that is shuffled. Null, empty, zero and non-finite
-    vectors are left out. Ties go to the smaller doc.
+    vectors are left out. An id counts once, by its best row, before anything is cut. Ties go to the
+    smaller doc.
     """
     parts = None
     block: list[tuple[str, list[float]]] = []
@@ -45,7 +46,7 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k:
     if block or parts is None:
         parts = add(parts)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    return parts.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return parts.groupBy("qid", "doc").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _scan(vectors: DataFrame, id_col: str, vec_col: str, block: list, k: int, exclude_same: bool) -> DataFrame:
@@ -69,12 +70,13 @@ def _scan(vectors: DataFrame, id_col: str, vec_col: str, block: list, k: int, ex
                 s = np.round(m @ x.T, 6)
                 names_ = np.array([ids[i] for i in ok])
                 order = np.argsort(names_, kind="stable")
-                s, names_ = s[:, order], names_[order]
+                names_, first = np.unique(names_[order], return_index=True)
+                s = np.maximum.reduceat(s[:, order], first, axis=1)  # the best of the rows of an id
                 for i, q in enumerate(qids):
                     row = s[i]
                     if exclude_same:
                         row = np.where(names_ == q, -np.inf, row)
-                    for j in np.argsort(-row, kind="stable")[: k + 8]:  # repeated rows may share a place
+                    for j in np.argsort(-row, kind="stable")[:k]:
                         if np.isfinite(row[j]):
                             out.append((q, str(names_[j]), float(row[j])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.string(), pa.float64()))], names=names)

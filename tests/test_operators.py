@@ -189,3 +189,13 @@ def test_plugins(spark):
     row = spark.createDataFrame([("o", "", "e", None, None, 3)], "o string, l string, e string, c string, v string, i int")
     r = row.select(plugins.rerank_query(F.col("o"), F.col("l"), F.col("e")).alias("q"), plugins.document_id(F.col("c"), F.col("v"), F.col("i"), F.lit(9)).alias("d")).first()
     assert tuple(r) == ("e", "unknown_video:chunk:3")
+
+
+def test_search_with_one_id_repeated_in_a_batch(spark):
+    from corpusloom.operators import vectors
+
+    rows = [("hot", [1.0, 0.0])] * 60 + [(f"d{i}", [1.0, 0.1 * (i + 1)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id string, vec array<float>").coalesce(1)
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, vec array<float>")
+    got = vectors.search(df, "id", "vec", q, 4).orderBy("rank").collect()
+    assert [(r["doc"], r["rank"]) for r in got] == [("hot", 1), ("d0", 2), ("d1", 3), ("d2", 4)]
