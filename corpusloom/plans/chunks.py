@@ -512,5 +512,16 @@ def document_projection(spark, sf) -> DataFrame:
     return chunks(spark, sf).where(F.length("chunk_text") > 0).select(M.document_id(c("chunk_id"), c("video_id"), c("chunk_index"), c("chunk_index")).alias("doc_id"), e("title"), e("course"), e("playlist_id"), e("source"), e("url"), F.coalesce("start_time", F.lit(0.0)).alias("start_time"), F.left("chunk_text", F.lit(200)).alias("head"))
 
 
+@query
+def index_documents(spark, sf) -> DataFrame:
+    """Every chunk as the index takes it: the whole text and all metadata, as recorded."""
+    c = F.col
+    return chunks(spark, sf).select(M.document_id(c("chunk_id"), c("video_id"), c("chunk_index"), c("chunk_index")).alias("doc_id"), c("chunk_text").alias("page_content"), "video_id", "chunk_id", "title", "course", "playlist_id", "published_at", "start_time", "end_time", "duration", "source", "chunk_type", c("token_estimate").alias("token_count"), "url")
+
+
+S["index_documents"] = f"""WITH {CHUNKS} SELECT CASE WHEN chunk_id <> '' THEN chunk_id ELSE coalesce(video_id, 'unknown_video') || ':chunk:' || chunk_index END AS doc_id, chunk_text AS page_content, video_id, chunk_id, title, course,
+    playlist_id, published_at, start_time, end_time, duration, source, chunk_type, token_estimate AS token_count, url FROM chunks"""
+
+
 S["document_projection"] = f"""WITH {CHUNKS} SELECT CASE WHEN chunk_id <> '' THEN chunk_id ELSE coalesce(video_id, 'unknown_video') || ':chunk:' || chunk_index END AS doc_id, coalesce(title, '') AS title, coalesce(course, '') AS course,
     coalesce(playlist_id, '') AS playlist_id, coalesce(source, '') AS source, coalesce(url, '') AS url, coalesce(start_time, 0.0) AS start_time, substring(chunk_text, 1, 200) AS head FROM chunks WHERE length(chunk_text) > 0"""

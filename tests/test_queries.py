@@ -49,3 +49,10 @@ def test_entry_without_llm(monkeypatch):
 
     monkeypatch.setattr(e, "llm_queries", None)
     assert "bm25_topk" in e.queries() and not any(q.startswith("p1_") for q in e.queries())
+
+
+def test_index_documents_keep_whole_texts_and_empty_ones(spark, sf):
+    got = registry.queries()["index_documents"](spark, sf)
+    t = spark.read.parquet(f"{sf}/transcript_v3.parquet").select("chunk_id", "chunk_text").distinct()
+    assert len(got.columns) == 15 and got.count() == t.count()
+    assert got.where("length(page_content) > 200").count() == t.where("length(chunk_text) > 200").count() > 0
