@@ -4,9 +4,9 @@ Each distinct set of word shingles gets ``COORDS`` minwise values. In each of ``
 independent runs, every set follows about 1/threshold coordinates of a node, chosen by the
 node alone, and moves to the child named by its value there, so similar sets share a child with
 good probability. Nodes of up to ``leaf`` sets are compared by brute force; larger ones split
-again by other coordinates. Runs are repeated until the wanted recall: with a similarity of
-``threshold`` one level keeps a pair in a run with probability of about 0.79, so eight runs lose
-less than one pair in ten thousand over one level and one in 200 over two.
+again by other coordinates. Every further level loses pairs, so runs are repeated until the wanted
+recall: after each batch of runs, sets that came to lie deeper than their runs so far suffice for go through
+as many more as :func:`runs_for` derives for that depth, until no set wants more.
 
 Sketches of 32 x 4 bits travel with the sets and filter the brute-force pairs inside the join;
 survivors are verified exactly on their words. Copies (equal shingle sets) are one set
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,24 @@ def _mismatches(a: str, b: str):
     return one("s1") + one("s2")
 
 
+def runs_for(depth: int, threshold: float, recall: float) -> int:
+    """The least number of runs that keep a pair of similarity ``threshold`` over ``depth`` levels with
+    a probability of ``recall``, over all numbers of the shared ``COORDS`` coordinates that may agree."""
+    agree = np.arange(COORDS + 1)
+    odds = np.array([comb(COORDS, int(a)) * threshold**a * (1 - threshold) ** (COORDS - a) for a in agree])
+    want = 1.0 / threshold
+    most = int(np.ceil(want))
+    more = want - (most - 1)
+    kept = np.ones(COORDS + 1)
+    for _ in range(depth):
+        lost = 1 - agree / COORDS * kept
+        kept = 1 - lost ** (most - 1) * (1 - more + more * lost)
+    runs = 1
+    while (odds * (1 - kept) ** runs).sum() > 1 - recall:
+        runs += 1
+    return runs
+
+
 def _candidates(rows: DataFrame, threshold: float, salts: int = 1) -> DataFrame:
     """Pairs of sets that share a node and whose sketches and sizes allow the threshold."""
     # of 32 four-bit values at least this many agree, four standard deviations below the mean
@@ -141,7 +160,27 @@ def _exact(shingle: int, threshold: float):
     return run
 
 
-def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, runs: int = 8, leaf: int = 100) -> tuple[DataFrame, DataFrame]:
+def _one_batch(sets: DataFrame, runs: DataFrame, threshold: float, leaf: int, found: list[DataFrame]) -> list[tuple[int, DataFrame]]:
+    """Add the candidates of some ``runs(set, run)`` to ``found``; (depth, sets that lie as deep) below the first level."""
+    level = runs.join(sets.select("set", "n", "sig", "s1", "s2"), "set").withColumn("node", F.lit(0).cast("long"))
+    deeper = []
+    for depth in range(1, MAX_LEVELS + 1):
+        kids = _children(level, threshold)
+        if depth == MAX_LEVELS:
+            found.append(_candidates(kids, threshold, salts=16))
+            break
+        big = stable(kids.groupBy("run", "node").count().where(F.col("count") > leaf).select("run", "node"))
+        if big.isEmpty():
+            found.append(_candidates(kids, threshold))
+            break
+        found.append(_candidates(kids.join(big, ["run", "node"], "left_anti"), threshold))
+        split = kids.join(big, ["run", "node"]).select("run", "node", "set")
+        level = stable(split.join(sets.select("set", "n", "sig", "s1", "s2"), "set"))
+        deeper.append((depth + 1, level))
+    return deeper
+
+
+def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, runs: int = 8, leaf: int = 100, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """Links between distinct shingle sets, and the members of each set.
 
     Returns ``links(x, y, similarity)`` with x < y, numbers of sets whose Jaccard similarity of
@@ -149,7 +188,8 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int
     ``members(set, id)`` with every row whose text has at least ``shingle`` words.
 
     Null ids, null or short texts (fewer than ``shingle`` words, so also empty ones) have no set
-    and never appear. Repeated rows count once. An id with several texts is a member of several
+    and never appear. ``runs`` is the least number of runs, ``recall`` the part of the pairs
+    exactly at the threshold that must be kept at every depth. Repeated rows count once. An id with several texts is a member of several
     sets. An empty table gives empty tables. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -159,20 +199,28 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int
     sets = stable(sets.withColumn("set", F.monotonically_increasing_id()))
     members = units.select("id", "k1", "k2").join(sets.select("k1", "k2", "set"), ["k1", "k2"]).select("set", "id").distinct()
 
-    level = sets.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), F.lit(0).cast("long").alias("node"), "set", "n", "sig", "s1", "s2")
-    found = []
-    for depth in range(1, MAX_LEVELS + 1):
-        kids = _children(level, threshold)
-        if depth == MAX_LEVELS:
-            found.append(_candidates(kids, threshold, salts=16))
+    # runs wanted by depth; a set's depth is that of its deepest node, and a pair goes no deeper than both
+    wanted_runs = [max(runs, runs_for(d, threshold, recall)) for d in range(1, MAX_LEVELS + 1)]
+    found: list[DataFrame] = []
+    depths = None
+    todo = sets.select("set", F.lit(0).alias("done"), F.lit(wanted_runs[0]).alias("want"))
+    while True:
+        again = todo.select("set", F.explode(F.sequence(F.col("done") + 1, F.col("want"))).alias("run"))
+        split = _one_batch(sets, again, threshold, leaf, found)
+        if not split:
             break
-        big = stable(kids.groupBy("run", "node").count().where(F.col("count") > leaf).select("run", "node"))
-        if big.isEmpty():
-            found.append(_candidates(kids, threshold))
+        deep = [x.select("set").distinct().withColumn("depth", F.lit(d)) for d, x in split]
+        if depths is not None:
+            deep.append(depths.select("set", "depth"))
+        depth_now = reduce(DataFrame.unionByName, deep).groupBy("set").agg(F.max("depth").alias("depth"))
+        had = F.lit(wanted_runs[0]) if depths is None else F.coalesce("had", F.lit(wanted_runs[0]))
+        if depths is not None:
+            depth_now = depth_now.join(depths.select("set", F.col("want").alias("had")), "set", "left")
+        want = F.element_at(F.array(*[F.lit(w) for w in wanted_runs]), F.col("depth"))
+        depths = stable(depth_now.select("set", "depth", had.alias("done"), want.alias("want")))
+        todo = depths.where("want > done").select("set", "done", "want")
+        if todo.isEmpty():
             break
-        found.append(_candidates(kids.join(big, ["run", "node"], "left_anti"), threshold))
-        split = kids.join(big, ["run", "node"]).select("run", "node", "set")
-        level = stable(split.join(sets.select("set", "n", "sig", "s1", "s2"), "set"))
     pairs = stable(reduce(DataFrame.unionByName, found).distinct())
 
     # each set's text comes from its representative; one pass over the texts for all pairs

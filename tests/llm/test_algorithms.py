@@ -210,6 +210,20 @@ def test_one_hot_group_reaches_the_last_level(spark):
     assert len(want - got) <= 0.02 * len(want) and not got - want
 
 
+def test_deep_levels_keep_pairs_near_the_threshold(spark):
+    rng = random.Random(11)
+    t = words(rng, 80)
+    rows = [(f"h{i:02d}", edited(rng, t, 2)) for i in range(40)]
+    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, TEXT), "id", "text", shingle=3, threshold=0.7, leaf=2).collect()}
+    want = brute(rows, 3, 0.7)
+    assert len(want - got) <= 0.002 * len(want) and not got - want
+
+
+def test_runs_follow_the_depth():
+    assert [near_duplicates.runs_for(d, 0.7, 0.999) for d in range(1, 7)] == [6, 9, 13, 19, 28, 41]
+    assert near_duplicates.runs_for(6, 0.7, 0.95) > 8 >= near_duplicates.runs_for(1, 0.7, 0.9999)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     df = spark.createDataFrame([], TEXT)
     assert near_duplicates.near_duplicate_pairs(df, "id", "text").count() == 0
