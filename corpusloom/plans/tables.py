@@ -12,11 +12,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks once each: a repeated delivery differs in its time of arrival alone."""
-    return table(spark, sf, "transcript_v3").drop("embedding_text", "ingested_at").dropDuplicates(["chunk_id"])
+    return table(spark, sf, "transcript_v3").drop("embedding_text", "ingested_at").distinct()
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "answer_eval").drop("evaluated_at").dropDuplicates(["answer_id"])
+    return table(spark, sf, "answer_eval").drop("evaluated_at").distinct()
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,12 +51,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    ``spark.checkpoint.dir`` of the session wins. Only where it is unset (tests, a local
-    session) is a folder of this machine made.
+    ``spark.checkpoint.dir`` of the session wins. Where it is unset, a local session (tests) gets a folder of this
+    machine; on a cluster, whose machines do not share one, that is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints"))
     return sc.getCheckpointDir()
 
@@ -68,7 +71,19 @@ def stable(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the checkpoint folder: like :func:`stable`, but columnar and
-    compressed, for results that are large or read by column."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    compressed, for results that are large or read by column. :func:`release` deletes it."""
+    spark = df.sparkSession
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`written` has made in this application: once the results are saved."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

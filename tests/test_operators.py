@@ -6,34 +6,61 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import context, dedupe, evaluate, fusion, lexical, reports, vectors
-from corpusloom.operators.greedy import dense_positions, greedy_spans
+from corpusloom.operators.greedy import Rule, dense_positions, greedy_spans
 
 
-def test_greedy_spans_equal_a_plain_walk(spark):
+def up_to(limit, repeat):
+    class UpTo(Rule):
+        """Close once the weights reach a limit; the next span repeats some rows."""
+
+        columns, overlap = ("w",), repeat
+
+        def begin(self, c, i, carry):
+            total = np.concatenate(([0], np.cumsum(c["w"])))
+            return (total[i] - total[i - carry]).astype(float)[:, None]
+
+        def take(self, c, k, acc):
+            acc = acc + c["w"][k][:, None]
+            return np.zeros(len(k), bool), acc[:, 0] >= limit, acc
+
+    return UpTo()
+
+
+def plain_walk(ws, overlap, limit):
+    i, carry, want = 0, 0, []
+    while i < len(ws):
+        total, e = sum(ws[i - carry : i]), i
+        while e < len(ws) and (e == i or total < limit):
+            total += ws[e]
+            e += 1
+        want.append(list(range(i - carry, e)))
+        i, carry = e, min(overlap, e - (i - carry))
+    return want
+
+
+@pytest.mark.parametrize("size, overlap", [(32, 2), (100, 0), (1000, 2)])
+def test_greedy_spans_equal_a_plain_walk(spark, size, overlap):
     rng = random.Random(3)
-    data = {k: [rng.randint(1, 9) for _ in range(n)] for k, n in (("a", 400), ("b", 1), ("c", 37))}
-    rows = spark.createDataFrame([(k, i, w) for k, ws in data.items() for i, w in enumerate(ws)], "k string, pos long, w int")
-
-    def step(c, i, carry, at_end):
-        total = int(c["w"][i - carry : i].sum())
-        for j in range(i, len(c["w"])):
-            total += int(c["w"][j])
-            if total >= 20:
-                return j + 1, min(2, j + 1 - (i - carry))
-        return len(c["w"]), 0
-
-    got = greedy_spans(rows, "k", ["w"], step, carries=3, size=32, reach=24).collect()
+    data = {k: [rng.randint(1, 9) for _ in range(n)] for k, n in (("a", 400), ("b", 1), ("c", 37), ("d", size), ("e", size + 1), ("f", size - 1))}
+    data["zero"] = [0] * 150 + [30] + [0] * 90 + [5] * 9  # a span over many blocks
+    data["same"] = [5] * 333  # spans of equal length: chains of different starts never meet
+    rows = spark.createDataFrame([(k, i, w, f"{k}{i}") for k, ws in data.items() for i, w in enumerate(ws)] + [(None, 0, 1, "x")], "k string, pos long, w int, first_text string")
+    mine = {}
+    for r in greedy_spans(rows, "k", up_to(20, overlap), size=size).collect():
+        mine.setdefault(r["k"], {}).setdefault(r["span"], []).append(r["pos"])
+        assert r["first_text"] == f"{r['k']}{r['pos']}"
+    assert set(mine) == set(data)
     for k, ws in data.items():
-        c, i, carry, want = {"w": np.array(ws)}, 0, 0, []
-        while i < len(ws):
-            e, nxt = step(c, i, carry, True)
-            want.append(list(range(i - carry, e)))
-            i, carry = e, nxt
-        mine = {}
-        for r in got:
-            if r["k"] == k:
-                mine.setdefault(r["span"], []).append(r["pos"])
-        assert [sorted(mine[s]) for s in sorted(mine)] == want
+        want = plain_walk(ws, overlap, 20)
+        assert sorted(mine[k]) == list(range(len(want))) and [sorted(mine[k][s]) for s in sorted(mine[k])] == want
+
+
+def test_greedy_spans_lose_no_row_of_spans_longer_than_a_block(spark):
+    rows = spark.createDataFrame([("a", i, 1 if i % 40 == 39 else 0) for i in range(200)], "k string, pos long, w int")
+    rule = up_to(1, 0)
+    got = greedy_spans(rows, "k", rule, size=32).collect()
+    assert sorted(r["pos"] for r in got) == list(range(200)) and {(r["span"], r["first"]) for r in got} == {(i, 40 * i) for i in range(5)}
+    assert greedy_spans(rows.limit(0), "k", rule, size=32).count() == 0
 
 
 def test_dense_positions(spark):
