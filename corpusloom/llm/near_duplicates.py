@@ -1,22 +1,24 @@
 """Near-duplicate records with small edits: a chosen-path similarity join.
 
-Each distinct set of word shingles gets ``COORDS`` minwise values. In each of ``runs``
-independent runs, every set follows about 1/threshold coordinates of a node, chosen by the
-node alone, and moves to the child named by its value there, so similar sets share a child with
-good probability. Nodes of up to ``leaf`` sets are compared by brute force; larger ones split
-again by other coordinates. Every further level loses pairs, so runs are repeated until the wanted
-recall: after each batch of runs, sets that came to lie deeper than their runs so far suffice for go through
-as many more as :func:`runs_for` derives for that depth, until no set wants more.
-
-Sketches of 32 x 4 bits travel with the sets and filter the brute-force pairs inside the join;
-survivors are verified exactly on their words. Copies (equal shingle sets) are one set
-throughout; only membership grows with them. Nothing is collected to the driver.
+Each distinct set of word shingles gets ``COORDS`` minwise values. In each of several independent runs, every
+set follows about 1/threshold coordinates of the root, and in every later node ``DEEP`` coordinates, chosen by
+the node alone, and moves to the child named by its value there, so similar sets share a child with good
+probability. Nodes of up to ``leaf`` sets are compared by brute force, larger ones split again by other coordinates, and
+nodes that are larger still after ``MAX_LEVELS`` levels are compared whole, in blocks. The number of runs follows
+from the wanted recall: :func:`runs_for` derives how many a pair exactly at the threshold needs at the greatest depth,
+so that no pair depends on how deep its nodes lie.
+
+A level is one shuffle: rows meet by node, small nodes give their candidate pairs, and the sets of large ones come
+out to be split. A node that is large within one batch of rows already is told from there, and its rows
+are spread over all tasks, so no task receives a hot node. Sketches of 32 x 4 bits travel
+with the sets and filter the pairs inside a node; survivors are verified exactly on their words. Copies
+(equal shingle sets) are one set throughout; only membership grows with them. Nothing is
+collected to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.flat_text import Words, mix, pieces
-from corpusloom.session import stable
+from corpusloom.session import stable, written
 
 COORDS = 32
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _UNIT = "id string, th long, k1 long, k2 long, n int, sig array<int>, s1 long, s2 long"
-#: Levels of splitting before a node is compared whole (in salted blocks).
-MAX_LEVELS = 6
+#: Levels of splitting before a node is compared whole, and coordinates that a node below the root splits by.
+MAX_LEVELS, DEEP = 4, 2.0
+#: Sets per block of a node that is compared whole; rows a task compares at once.
+BLOCK, SLAB = 512, 65_536
 
 
 def _signatures(shingle: int):
@@ -77,61 +81,201 @@ def _signatures(shingle: int):
     return run
 
 
-def _children(rows: DataFrame, threshold: float) -> DataFrame:
-    """One row per child: from (run, node, set, sig, s1, s2, n)."""
-    want = 1.0 / threshold
-    most = int(np.ceil(want))
-    extra = int((want - (most - 1)) * 1000)
-    picks = [F.lit(j) for j in range(most)]
-    j_ok = lambda j: (j < most - 1) | (F.pmod(F.xxhash64("run", "node", F.lit("extra")), F.lit(1000)) < extra)
-    rows = rows.withColumn("j", F.explode(F.array(*picks))).where(j_ok(F.col("j")))
-    # the picks of one node are distinct coordinates: an odd step around the ring of COORDS
-    at = F.pmod(F.xxhash64("run", "node") + F.col("j") * (2 * F.pmod(F.xxhash64("node", "run"), F.lit(COORDS // 2)) + 1), F.lit(COORDS)).cast("int")
-    return rows.withColumn("at", at).select("run", F.xxhash64("run", "node", "at", F.get("sig", F.col("at"))).alias("node"), "set", "n", "s1", "s2")
-
-
-def _mismatches(a: str, b: str):
-    def one(c: str):
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return one("s1") + one("s2")
+def _kept(depth: int, threshold: float, recall_at: np.ndarray) -> np.ndarray:
+    """Chance that a pair shares a leaf of one run over ``depth`` levels, by the share of coordinates that agree."""
+    kept = np.ones(len(recall_at))
+    for level in range(depth, 0, -1):
+        want = 1.0 / threshold if level == 1 else DEEP
+        most = int(np.ceil(want))
+        more = want - (most - 1)
+        lost = 1 - recall_at * kept
+        kept = 1 - lost ** (most - 1) * (1 - more + more * lost)
+    return kept
 
 
-def runs_for(depth: int, threshold: float, recall: float) -> int:
+def runs_for(threshold: float, recall: float, depth: int = MAX_LEVELS) -> int:
     """The least number of runs that keep a pair of similarity ``threshold`` over ``depth`` levels with
     a probability of ``recall``, over all numbers of the shared ``COORDS`` coordinates that may agree."""
     agree = np.arange(COORDS + 1)
     odds = np.array([comb(COORDS, int(a)) * threshold**a * (1 - threshold) ** (COORDS - a) for a in agree])
-    want = 1.0 / threshold
-    most = int(np.ceil(want))
-    more = want - (most - 1)
-    kept = np.ones(COORDS + 1)
-    for _ in range(depth):
-        lost = 1 - agree / COORDS * kept
-        kept = 1 - lost ** (most - 1) * (1 - more + more * lost)
+    lost = 1 - _kept(depth, threshold, agree / COORDS)
     runs = 1
-    while (odds * (1 - kept) ** runs).sum() > 1 - recall:
+    while (odds * lost**runs).sum() > 1 - recall:
         runs += 1
     return runs
 
 
-def _candidates(rows: DataFrame, threshold: float, salts: int = 1) -> DataFrame:
-    """Pairs of sets that share a node and whose sketches and sizes allow the threshold."""
-    # of 32 four-bit values at least this many agree, four standard deviations below the mean
-    p = threshold + (1 - threshold) / 16
-    least = int(COORDS * p - 4 * (COORDS * p * (1 - p)) ** 0.5)
-    left, right, keys = rows, rows, ["run", "node"]
-    if salts > 1:
-        left = rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(salts)).cast("int"))
-        right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = [*keys, "salt"]
-    a, b = left.alias("a"), right.alias("b")
-    on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    fits = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
-    return a.join(b, on & (F.col("a.set") < F.col("b.set")) & fits & (_mismatches("a", "b") <= COORDS - least)).select(F.col("a.set").alias("x"), F.col("b.set").alias("y"))
+def _u(x) -> np.ndarray:
+    return np.asarray(x).astype(np.int64).view(np.uint64)
+
+
+_KID = "node long, salt int, set long, n int, s1 long, s2 long"
+
+
+def _kids(want: float, runs: int | None, leaf: int):
+    """Children of (node, set, n, sig, s1, s2), or of the roots of ``runs`` runs. Rows of a child with more than ``leaf``
+    rows in this batch carry a salt, and a mark (set -1) tells where the child's other rows meet that it is large."""
+    most = int(np.ceil(want))
+    part = np.uint64(int((want - (most - 1)) * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sets, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+            sig = b.column(3).flatten().to_numpy().astype(np.uint32).reshape(-1, COORDS).astype(np.uint64)
+            s1, s2 = b.column(4).to_numpy(), b.column(5).to_numpy()
+            parents = [_u(b.column(0).to_numpy())] if runs is None else [np.full(b.num_rows, mix(np.array([r + 1], np.uint64))[0]) for r in range(runs)]
+            nodes, rows = [], []
+            for parent in parents:
+                h = mix(parent)
+                step = (h >> np.uint64(20)) % np.uint64(COORDS // 2) * np.uint64(2) + np.uint64(1)  # odd: the picks of a node differ
+                for j in range(most):
+                    at = np.flatnonzero((mix(h + np.uint64(77)) & np.uint64((1 << 20) - 1)) < part) if j == most - 1 and part < 1 << 20 else np.arange(len(sets))
+                    coord = ((h[at] + np.uint64(j) * step[at]) % np.uint64(COORDS)).astype(np.int64)
+                    nodes.append(mix(mix(h[at] + coord.astype(np.uint64)) ^ (sig[at, coord] * np.uint64(0x9E3779B97F4A7C15))))
+                    rows.append(at)
+            node, row = np.concatenate(nodes), np.concatenate(rows)
+            _, inverse, count = np.unique(node, return_inverse=True, return_counts=True)
+            large = count[inverse] > leaf
+            salt = np.where(large, (mix(_u(sets[row])) % np.uint64(1 << 20)).astype(np.int32) + 1, 0).astype(np.int32)
+            marks = np.unique(node[large])
+            none = np.full(len(marks), -1)
+            cat = lambda x, m, t: pa.array(np.concatenate([x, m]).astype(t))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([node, marks]).view(np.int64)), cat(salt, none * 0, np.int32), cat(sets[row], none, np.int64), cat(n[row], none, np.int32), cat(s1[row], none, np.int64), cat(s2[row], none, np.int64)],
+                names=["node", "salt", "set", "n", "s1", "s2"],
+            )
+
+    return run
+
+
+class _Fits:
+    """Whether the sketches and sizes of two sets allow the threshold."""
+
+    def __init__(self, threshold: float):
+        # of 32 four-bit values at least this many agree, four standard deviations below the mean
+        p = threshold + (1 - threshold) / 16
+        self.least, self.threshold = int(COORDS * p - 4 * (COORDS * p * (1 - p)) ** 0.5), threshold
+
+    def __call__(self, n: np.ndarray, s1: np.ndarray, s2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = np.flatnonzero(small >= self.threshold * large - 1e-9)
+        i, j = i[ok], j[ok]
+        differ = np.zeros(len(ok), np.uint8)
+        for s in (s1, s2):
+            x = s[i] ^ s[j]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            differ += np.bitwise_count(x & np.uint64(0x1111111111111111))
+        return ok[differ <= COORDS - self.least]
+
+
+_FOUND = "x long, y long, node long, set long"
+
+
+def _found(x: np.ndarray, y: np.ndarray, node: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+    """Candidate pairs, then sets of nodes that are to be split."""
+    none, free = pa.nulls(len(sets), pa.int64()), pa.nulls(len(x), pa.int64())
+    cols = [(pa.array(np.minimum(x, y)), none), (pa.array(np.maximum(x, y)), none), (free, pa.array(node)), (free, pa.array(sets))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], names=["x", "y", "node", "set"])
+
+
+def _meet(threshold: float, leaf: int):
+    """Rows ordered by (salt, node): pairs of small nodes, and the sets of large ones."""
+    fits = _Fits(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        have, growing = 0, None  # growing: the node at the end of the rows so far, known to be large
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, have, growing
+            t = pa.Table.from_batches(held).combine_chunks()
+            node, salt, sets, n, s1, s2 = (t.column(c).to_numpy() for c in ("node", "salt", "set", "n", "s1", "s2"))
+            s1, s2 = _u(s1), _u(s2)
+            cut = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (salt[1:] != salt[:-1]))))
+            size = np.diff(np.append(cut, len(node)))
+            marked = np.add.reduceat(sets == -1, cut) > 0
+            large = (size > leaf) | marked | (salt[cut] > 0) | (node[cut] == growing if growing is not None and salt[0] == 0 else False)
+            end = len(node)
+            if not last and not large[-1]:
+                end = int(cut[-1])
+            growing = int(node[-1]) if large[-1] and salt[-1] == 0 else None
+            at = np.arange(end)
+            group = np.repeat(np.arange(len(cut)), size)[:end]
+            big = large[group]
+            stop = (cut + size)[group]
+            x, y = [], []
+            live = at[~big]
+            for o in range(1, leaf):
+                live = live[live + o < stop[live]]
+                if not len(live):
+                    break
+                ok = live[fits(n, s1, s2, live, live + o)]
+                x.append(sets[ok])
+                y.append(sets[ok + o])
+            cat = lambda z: np.concatenate(z) if z else np.empty(0, np.int64)
+            big &= sets[:end] != -1
+            yield _found(cat(x), cat(y), node[:end][big], sets[:end][big])
+            held = t.slice(end).to_batches()
+            have = len(node) - end
+
+        for batch in batches:
+            held.append(batch)
+            have += batch.num_rows
+            if have >= SLAB:
+                yield from flush(False)
+        if have:
+            yield from flush(True)
+
+    return run
+
+
+def _whole(threshold: float):
+    """The pairs of two blocks of a node (or of one with itself)."""
+    fits = _Fits(threshold)
+
+    def run(t: pa.Table) -> pa.Table:
+        sets, n, s1, s2, own = (t.column(c).to_numpy() for c in ("set", "n", "s1", "s2", "own"))
+        s1, s2 = _u(s1), _u(s2)
+        a, b = int(t.column("a")[0].as_py()), int(t.column("b")[0].as_py())
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        x, y = [], []
+        for i in left:
+            j = right[right > i] if a == b else right
+            ok = j[fits(n, s1, s2, np.full(len(j), i), j)]
+            x.append(np.full(len(ok), sets[i]))
+            y.append(sets[ok])
+        cat = lambda z: np.concatenate(z) if z else np.empty(0, np.int64)
+        return pa.Table.from_batches([_found(cat(x), cat(y), np.empty(0, np.int64), np.empty(0, np.int64))])
+
+    return run
+
+
+def _candidates(sets: DataFrame, threshold: float, leaf: int, runs: int) -> DataFrame:
+    """``(x, y)``: pairs of ``sets(set, n, sig, s1, s2)`` that share a leaf and whose sketches and sizes allow the threshold."""
+    held = sets.select("set", "n", "sig", "s1", "s2")
+    rows, parts = held.select(F.lit(0).cast("long").alias("node"), "*"), []
+    for level in range(1, MAX_LEVELS + 1):
+        kids = rows.mapInArrow(_kids(1.0 / threshold if level == 1 else DEEP, runs if level == 1 else None, leaf), _KID)
+        met = written(kids.repartition("node", "salt").sortWithinPartitions("salt", "node").mapInArrow(_meet(threshold, leaf), _FOUND))
+        parts.append(met.where("x is not null").select("x", "y"))
+        big = met.where("set is not null").select("node", "set")
+        if big.isEmpty():
+            break
+        rows = big.distinct().join(held, "set").select("node", "set", "n", "sig", "s1", "s2")
+    else:
+        rows = stable(rows.drop("sig"))
+        blocks = rows.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = rows.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        pair = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = pair.select("node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "set", "n", "s1", "s2")
+        parts.append(pair.groupBy("node", "a", "b").applyInArrow(_whole(threshold), _FOUND).select("x", "y"))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    return pairs.distinct()
 
 
 def _exact(shingle: int, threshold: float):
@@ -160,68 +304,25 @@ def _exact(shingle: int, threshold: float):
     return run
 
 
-def _one_batch(sets: DataFrame, runs: DataFrame, threshold: float, leaf: int, found: list[DataFrame]) -> list[tuple[int, DataFrame]]:
-    """Add the candidates of some ``runs(set, run)`` to ``found``; (depth, sets that lie as deep) below the first level."""
-    level = runs.join(sets.select("set", "n", "sig", "s1", "s2"), "set").withColumn("node", F.lit(0).cast("long"))
-    deeper = []
-    for depth in range(1, MAX_LEVELS + 1):
-        kids = _children(level, threshold)
-        if depth == MAX_LEVELS:
-            found.append(_candidates(kids, threshold, salts=16))
-            break
-        big = stable(kids.groupBy("run", "node").count().where(F.col("count") > leaf).select("run", "node"))
-        if big.isEmpty():
-            found.append(_candidates(kids, threshold))
-            break
-        found.append(_candidates(kids.join(big, ["run", "node"], "left_anti"), threshold))
-        split = kids.join(big, ["run", "node"]).select("run", "node", "set")
-        level = stable(split.join(sets.select("set", "n", "sig", "s1", "s2"), "set"))
-        deeper.append((depth + 1, level))
-    return deeper
-
-
-def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, runs: int = 8, leaf: int = 100, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
-    """Links between distinct shingle sets, and the members of each set.
+def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, leaf: int = 100, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
+    """Links between classes of copies, and the members of each class: the form of a result at every size.
 
-    Returns ``links(x, y, similarity)`` with x < y, numbers of sets whose Jaccard similarity of
+    Returns ``links(x, y, similarity)`` with x < y, numbers of classes whose Jaccard similarity of
     distinct ``shingle``-word runs is at least ``threshold``, each exact; and
     ``members(set, id)`` with every row whose text has at least ``shingle`` words.
 
-    Null ids, null or short texts (fewer than ``shingle`` words, so also empty ones) have no set
-    and never appear. ``runs`` is the least number of runs, ``recall`` the part of the pairs
-    exactly at the threshold that must be kept at every depth. Repeated rows count once. An id with several texts is a member of several
-    sets. An empty table gives empty tables. Other columns are ignored.
+    ``recall`` is the part of the pairs exactly at the threshold that must be kept, however deep their nodes lie; pairs
+    above it are kept more surely. Null ids, null or short texts (fewer than ``shingle`` words, so also empty ones)
+    have no set and never appear. Repeated rows count once. An id with several texts is a member of several
+    classes. An empty table gives empty tables. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     rows = rows.withColumn("th", F.xxhash64("text"))
-    units = stable(rows.mapInArrow(_signatures(shingle), _UNIT))
+    units = written(rows.mapInArrow(_signatures(shingle), _UNIT))
     sets = units.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    sets = stable(sets.withColumn("set", F.monotonically_increasing_id()))
+    sets = written(sets.withColumn("set", F.monotonically_increasing_id()))
     members = units.select("id", "k1", "k2").join(sets.select("k1", "k2", "set"), ["k1", "k2"]).select("set", "id").distinct()
-
-    # runs wanted by depth; a set's depth is that of its deepest node, and a pair goes no deeper than both
-    wanted_runs = [max(runs, runs_for(d, threshold, recall)) for d in range(1, MAX_LEVELS + 1)]
-    found: list[DataFrame] = []
-    depths = None
-    todo = sets.select("set", F.lit(0).alias("done"), F.lit(wanted_runs[0]).alias("want"))
-    while True:
-        again = todo.select("set", F.explode(F.sequence(F.col("done") + 1, F.col("want"))).alias("run"))
-        split = _one_batch(sets, again, threshold, leaf, found)
-        if not split:
-            break
-        deep = [x.select("set").distinct().withColumn("depth", F.lit(d)) for d, x in split]
-        if depths is not None:
-            deep.append(depths.select("set", "depth"))
-        depth_now = reduce(DataFrame.unionByName, deep).groupBy("set").agg(F.max("depth").alias("depth"))
-        had = F.lit(wanted_runs[0]) if depths is None else F.coalesce("had", F.lit(wanted_runs[0]))
-        if depths is not None:
-            depth_now = depth_now.join(depths.select("set", F.col("want").alias("had")), "set", "left")
-        want = F.element_at(F.array(*[F.lit(w) for w in wanted_runs]), F.col("depth"))
-        depths = stable(depth_now.select("set", "depth", had.alias("done"), want.alias("want")))
-        todo = depths.where("want > done").select("set", "done", "want")
-        if todo.isEmpty():
-            break
-    pairs = stable(reduce(DataFrame.unionByName, found).distinct())
+    pairs = written(_candidates(sets, threshold, leaf, runs_for(threshold, recall)))
 
     # each set's text comes from its representative; one pass over the texts for all pairs
     ends = pairs.select("x", "y", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("set")), F.struct(F.lit(1).alias("side"), F.col("y").alias("set")))).alias("e"))
@@ -231,26 +332,30 @@ def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, shingle: int
     return both.mapInArrow(_exact(shingle, threshold), "x long, y long, similarity double"), members
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, expand_copies_to: int = 1000, **options) -> DataFrame:
-    """``(id_a, id_b, similarity)``, id_a < id_b: every link between rows of different sets, and
-    within a set of copies every pair. A set of more than ``expand_copies_to`` copies stands as
-    a star (each copy with the smallest id) instead, within itself and towards other sets, which
-    loses no link between different texts. See :func:`near_duplicate_links` for the options and
-    for nulls, short texts, repeated rows and empty tables.
+def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id_a, id_b, similarity)``, id_a < id_b: every pair of rows of linked classes, and every pair within a class.
+
+    An optional last step for results that ask for pairs of rows: their number is quadratic in the copies of a text, by
+    definition. Rows meet in blocks of a class against single rows of the other, so no task holds a class.
     """
-    links, members = near_duplicate_links(df, id_col, text_col, **options)
-    members = stable(members)
-    sizes = members.groupBy("set").agg(F.count("*").alias("copies"), F.min("id").alias("rep")).where("copies > 1")
-    m = members.join(sizes, "set", "left")
-    few = m.where(F.col("copies").isNull() | (F.col("copies") <= expand_copies_to) | (F.col("id") == F.col("rep"))).select("set", "id")
-    across = links.join(few.select(F.col("set").alias("x"), F.col("id").alias("p")), "x").join(few.select(F.col("set").alias("y"), F.col("id").alias("q")), "y")
-    copies = m.where("copies > 1").select("set", "id", "rep", "copies")
-    small = copies.where(F.col("copies") <= expand_copies_to).select("set", "id")
-    inside = small.select("set", F.col("id").alias("p")).join(small.select("set", F.col("id").alias("q")), "set").where("p < q")
-    star = copies.where((F.col("copies") > expand_copies_to) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("p"), F.col("id").alias("q"))
-    one = F.lit(1.0).alias("similarity")
-    every = across.select("p", "q", "similarity").where("p != q").unionByName(inside.select("p", "q", one)).unionByName(star.select("p", "q", one))
-    return every.groupBy(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).agg(F.max("similarity").alias("similarity"))
+    members = written(members)
+    few = members.groupBy("set").agg(F.count("*").alias("copies"))
+    m = members.join(few, "set")
+    same = few.where("copies > 1").select(F.col("set").alias("x"), F.col("set").alias("y"), F.lit(1.0).alias("similarity"))
+    # the rows of a class are cut into parts, and each link into one per part of its second class
+    parts = F.ceil(F.col("copies") / BLOCK).cast("int")
+    cut = m.select(F.col("set").alias("y"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("q"))
+    every = links.select("x", "y", "similarity").unionByName(same).join(few.select(F.col("set").alias("y"), parts.alias("parts")), "y")
+    every = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    out = every.join(m.select(F.col("set").alias("x"), F.col("id").alias("p")), "x").join(cut, ["y", "part"])
+    out = out.where(F.when(F.col("x") == F.col("y"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q")))
+    return out.groupBy(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).agg(F.max("similarity").alias("similarity"))
+
+
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """``(id_a, id_b, similarity)`` of all rows that are near-duplicates: :func:`expand_pairs` of :func:`near_duplicate_links`,
+    which see for the options, nulls, short texts, repeated rows and empty tables."""
+    return expand_pairs(*near_duplicate_links(df, id_col, text_col, **options))
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

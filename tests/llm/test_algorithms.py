@@ -190,15 +190,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute(rows, 3, 0.7)
 
 
-def test_copies_beyond_the_expansion_stand_as_a_star(spark):
+def test_copies_are_one_class_and_expand_to_all_pairs(spark, monkeypatch):
     rng = random.Random(6)
     t = words(rng, 40)
-    rows = [(f"k{i}", t) for i in range(6)] + [("n", edited(rng, t, 1))]
+    rows = [(f"k{i}", t) for i in range(6)] + [("n", edited(rng, t, 1)), ("m", words(rng, 40))]
     df = spark.createDataFrame(rows, TEXT)
-    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.near_duplicate_pairs(df, "id", "text", expand_copies_to=3, threshold=0.7).collect()}
-    assert got == {("k0", f"k{i}") for i in range(1, 6)} | {("k0", "n")}
-    groups = {r["id"]: r["group_id"] for r in near_duplicates.near_duplicate_groups(df, "id", "text", threshold=0.7).collect()}
-    assert len(groups) == 7 and len(set(groups.values())) == 1
+    links, members = near_duplicates.near_duplicate_links(df, "id", "text", threshold=0.7)
+    assert links.count() == 1 and members.count() == 8 and members.select("set").distinct().count() == 3
+    monkeypatch.setattr(near_duplicates, "BLOCK", 2)
+    got = [(r["id_a"], r["id_b"]) for r in near_duplicates.near_duplicate_pairs(df, "id", "text", threshold=0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 5, 0.7) and len(got) == 21
+    groups = {r["id"]: (r["group_id"], r["links"]) for r in near_duplicates.near_duplicate_groups(df, "id", "text", threshold=0.7).collect()}
+    assert len(groups) == 8 and len({g for k, (g, _) in groups.items() if k != "m"}) == 1 and groups["n"][1] == 1 and groups["m"][1] == 0
 
 
 def test_one_hot_group_reaches_the_last_level(spark):
@@ -219,9 +222,25 @@ def test_deep_levels_keep_pairs_near_the_threshold(spark):
     assert len(want - got) <= 0.002 * len(want) and not got - want
 
 
-def test_runs_follow_the_depth():
-    assert [near_duplicates.runs_for(d, 0.7, 0.999) for d in range(1, 7)] == [6, 9, 13, 19, 28, 41]
-    assert near_duplicates.runs_for(6, 0.7, 0.95) > 8 >= near_duplicates.runs_for(1, 0.7, 0.9999)
+def test_large_nodes_of_one_batch_and_of_many(spark, monkeypatch):
+    rng = random.Random(12)
+    t, u = words(rng, 60), words(rng, 60)
+    rows = [(f"h{i:03d}", edited(rng, t, 2)) for i in range(50)] + [(f"o{i:03d}", edited(rng, u, 3)) for i in range(20)] + [(f"s{i}", words(rng, 30)) for i in range(80)]
+    want = brute(rows, 3, 0.7)
+    for slab, batch in ((1, "10000"), (65_536, "3")):
+        monkeypatch.setattr(near_duplicates, "SLAB", slab)
+        monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {(r["id_a"], r["id_b"]) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, TEXT), "id", "text", shingle=3, threshold=0.7, leaf=5).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(want - got) <= 0.002 * len(want) and not got - want
+
+
+def test_runs_follow_from_recall_and_depth():
+    assert [near_duplicates.runs_for(0.7, 0.999, d) for d in range(1, 5)] == [6, 7, 8, 10]
+    assert near_duplicates.runs_for(0.7, 0.9999) > near_duplicates.runs_for(0.7, 0.99)
 
 
 def test_near_duplicates_of_an_empty_table(spark):
