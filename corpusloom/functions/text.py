@@ -229,6 +229,20 @@ def embedding_text(course: Column, title: Column, text: Column, start: Column, e
     return let(F.struct(body.alias("body"), keywords(body).alias("found"), head.alias("head")), pick)
 
 
+def context_header(course: Column, title: Column, source: Column, start: Column, end: Column) -> Column:
+    """Four lines and a blank one before a text that is to be embedded."""
+    or_unknown = lambda c: F.coalesce(c, F.lit("Unknown"))
+    return F.concat(F.lit("Course: "), or_unknown(course), F.lit("\nVideo: "), or_unknown(title), F.lit("\nSource: "), or_unknown(source), F.lit("\nTime: "), clock(start, True), F.lit(" - "), clock(end, True), F.lit("\n\n"))
+
+
+def embedding_ready(chunks, text: Column):
+    """Sixteen columns with defaults; ``embedding_text`` is the header and ``text``, a cleaned form of the chunk's own."""
+    words = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("chunk_id", "video_id", "title", "course", "playlist_id", "published_at", "source", "chunk_type", "chunk_text")]
+    numbers = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("chunk_index", "start_time", "end_time", "duration", "word_count", "token_estimate")]
+    head = context_header(F.col("course"), F.col("title"), F.col("source"), F.col("start_time"), F.col("end_time"))
+    return chunks.select(*words, *numbers, F.concat(head, F.coalesce(text, F.lit(""))).alias("embedding_text"))
+
+
 # times, ids, addresses, citations, JSON
 
 

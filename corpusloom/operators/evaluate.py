@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules as R
 from corpusloom.functions import text as T
+from corpusloom.operators.vectors import cosine
 
 
 def rank_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -38,10 +39,38 @@ def rank_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1,
     return j.select(*out)
 
 
+def single_source(hits: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Metrics of queries with one right document, one row per query of ``truth(qid, doc)`` (and of ``by``, columns of it):
+    rank, hits at 1, 3, 5, 6, 10, 20, precision at 1, 3, 5, 10, reciprocal rank (also within 3), average
+    precision, nDCG at 3, 5, 10, 20, and whether it was missed. A rank may lie beyond 20."""
+    keep = [c for c in by or [] if c != "qid"]
+    got = truth.select("qid", "doc", *keep).join(hits.groupBy("qid", "doc").agg(F.min("rank").alias("rank")), ["qid", "doc"], "left")
+    r = F.col("rank")
+    within = lambda k, v: F.coalesce(F.when(r <= k, v), F.lit(0.0))
+    every = F.round(F.coalesce(1 / r, F.lit(0.0)), 6)
+    return got.select(
+        "qid", *keep, "rank",
+        *[within(k, F.lit(1.0)).alias(f"hit_{k}") for k in (1, 3, 5, 6, 10, 20)],
+        *[F.round(within(k, F.lit(1.0 / k)), 6).alias(f"precision_{k}") for k in (1, 3, 5, 10)],
+        every.alias("rr"), F.round(within(3, 1 / r), 6).alias("rr_3"), every.alias("ap"),
+        *[F.round(within(k, 1 / F.log2(r + 1)), 6).alias(f"ndcg_{k}") for k in (3, 5, 10, 20)],
+        r.isNull().cast("double").alias("miss"),
+    )
+
+
+def semantic(hits: DataFrame, queries: DataFrame, documents: DataFrame, sources: DataFrame, relevant: float = 0.5, recalled: float = 0.7) -> DataFrame:
+    """Per query of ``queries(qid, vec)``: the largest and mean cosine of its hits, the share of at least ``relevant``, and
+    whether a hit is as similar as ``recalled`` to its source (``sources(qid, vec)``); all 0 without hits."""
+    h = hits.select("qid", "doc").join(documents.select("doc", F.col("vec").alias("d")), "doc").join(queries.select("qid", F.col("vec").alias("q")), "qid").join(sources.select("qid", F.col("vec").alias("s")), "qid", "left")
+    h = h.select("qid", F.coalesce(cosine(F.col("q"), F.col("d")), F.lit(0.0)).alias("c"), F.coalesce(cosine(F.col("s"), F.col("d")), F.lit(0.0)).alias("t"))
+    got = h.groupBy("qid").agg(F.max("c").alias("max_sim"), F.avg("c").alias("mean_sim"), F.avg((F.col("c") >= relevant).cast("double")).alias("semantic_precision"), F.max((F.col("t") >= recalled).cast("double")).alias("semantic_recall"))
+    return queries.select("qid").join(got, "qid", "left").select("qid", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in got.columns if c != "qid"])
+
+
 def means(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means of all numeric columns, overall and per group in one pass (null group: overall)."""
     cols = [c for c, t in metrics.dtypes if t in ("double", "float", "int", "bigint") and c not in (by or [])]
-    aggs = [F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in cols]]
+    aggs = [F.count("*").alias("queries"), *[F.round(F.avg(c) + 1e-12, 6).alias(c) for c in cols]]  # ties round up whatever the order of the sum
     return metrics.rollup(*by).agg(*aggs) if by else metrics.agg(*aggs)
 
 

@@ -16,12 +16,21 @@ def bounds(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _ranks(df: DataFrame, c: str, places: int) -> DataFrame:
-    """Distinct values rounded to ``places`` with the places they take in order: their number is
-    bounded by the range of values, not by the rows."""
-    v = df.select(F.round(F.col(c), places).alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return v.withColumn("to", F.sum("n").over(w)).withColumn("from", F.col("to") - F.col("n"))
+#: Ranges that distinct values are ordered in; their bounds are approximate quantiles, so ranges are of like size.
+RANGES = 64
+
+
+def _ranks(df: DataFrame, c: str) -> DataFrame:
+    """Distinct values with the places they take in order. Values are counted first, then ordered within ranges, so
+    that no task orders all of them; one row per range is summed up."""
+    v = df.select(F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    bounds = v.agg(F.array_distinct(F.percentile_approx("v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000))).alias("bounds"))
+    v = v.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    sums = v.groupBy("range").agg(F.sum("n").alias("held"))
+    w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", F.coalesce(F.sum("held").over(w), F.lit(0)).alias("before"))  # at most RANGES rows
+    inner = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return v.withColumn("to", F.sum("n").over(inner)).join(F.broadcast(sums), "range").select("v", "n", (F.col("to") + F.col("before")).alias("to")).withColumn("from", F.col("to") - F.col("n"))
 
 
 def _at(place: Column) -> Column:
@@ -29,18 +38,23 @@ def _at(place: Column) -> Column:
     return F.max(F.when((F.col("from") <= place) & (place < F.col("to")), F.col("v")))
 
 
-def summary(df: DataFrame, c: str, places: int = 3) -> DataFrame:
-    """n, min, nearest-rank percentiles, interpolated median, max and mean."""
-    r = _ranks(df, c, places).withColumn("total", F.max("to").over(Window.partitionBy()))
+def _counted(df: DataFrame, c: str) -> DataFrame:
+    r = _ranks(df, c)
+    return r.crossJoin(F.broadcast(r.agg(F.sum("n").alias("total"))))
+
+
+def summary(df: DataFrame, c: str) -> DataFrame:
+    """n, min, nearest-rank percentiles, interpolated median, max and mean; percentiles are values of the column as they are."""
+    r = _counted(df, c)
     last = F.col("total") - 1
-    near = {f"p{p}": _at(F.bround(F.lit(p / 100) * last, 0)) for p in (10, 25, 75, 90, 99)}
+    near = [_at(F.bround(F.lit(p / 100) * last, 0)).alias(f"p{p}") for p in (10, 25, 50, 75, 90, 95, 99)]
     low, high = _at(F.floor(last / 2)), _at(F.ceil(last / 2))
-    return r.agg(F.coalesce(F.max("total"), F.lit(0)).alias("n"), F.min("v").alias("min"), near["p10"].alias("p10"), near["p25"].alias("p25"), ((low + high) / 2).alias("median"), near["p75"].alias("p75"), near["p90"].alias("p90"), near["p99"].alias("p99"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("n")) / F.max("total"), 6).alias("mean"))
+    return r.agg(F.coalesce(F.max("total"), F.lit(0)).alias("n"), F.min("v").alias("min"), *near, ((low + high) / 2).alias("median"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("n")) / F.max("total"), 6).alias("mean"))
 
 
-def exclusive_quantiles(df: DataFrame, c: str, points: list[float], places: int = 6) -> DataFrame:
+def exclusive_quantiles(df: DataFrame, c: str, points: list[float]) -> DataFrame:
     """Quantiles at position p (n + 1), as columns q25, q50, ..."""
-    r = _ranks(df, c, places).withColumn("total", F.max("to").over(Window.partitionBy()))
+    r = _counted(df, c)
     out = []
     for p in points:
         pos = F.lit(p) * (F.col("total") + 1)

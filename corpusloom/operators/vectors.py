@@ -59,26 +59,35 @@ def _scan(vectors: DataFrame, id_col: str, vec_col: str, block: list, k: int, ex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            ok = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None and len(v) == dim and ids[i] is not None]
-            x = np.array([b.column(1)[i].as_py() for i in ok], np.float64).reshape(len(ok), dim)
-            n = np.linalg.norm(x, axis=1) if len(ok) else np.empty(0)
-            use = np.isfinite(n) & (n > 0)
-            x, ok = x[use] / n[use, None], [i for i, u in zip(ok, use) if u]
-            out: list[tuple] = []
-            if ok and qids:
-                s = np.round(m @ x.T, 6)
-                names_ = np.array([ids[i] for i in ok])
-                order = np.argsort(names_, kind="stable")
-                names_, first = np.unique(names_[order], return_index=True)
-                s = np.maximum.reduceat(s[:, order], first, axis=1)  # the best of the rows of an id
-                for i, q in enumerate(qids):
-                    row = s[i]
+            lens = np.nan_to_num(np.asarray(b.column(1).value_lengths().to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
+            at = np.flatnonzero((lens == dim) & ~np.asarray(b.column(0).is_null()))
+            qs, ds, sc = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            labels: list[str] = []
+            if len(at) and len(m):
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = flat[((np.cumsum(lens) - lens)[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
+                n = np.linalg.norm(x, axis=1)
+                use = np.isfinite(n) & (n > 0)
+                x, at = x[use] / n[use, None], at[use]
+                ids, place = np.unique(np.array(b.column(0).take(pa.array(at)).to_pylist(), object).astype(str), return_inverse=True) if len(at) else (np.empty(0, str), at)
+                order = np.argsort(place, kind="stable")
+                first = np.flatnonzero(np.diff(place[order], prepend=-1))
+                labels = ids.tolist()
+                for lo in range(0, len(m) if len(ids) else 0, 256):
+                    s = np.round(m[lo : lo + 256] @ x.T, 6)
+                    s = np.maximum.reduceat(s[:, order], first, axis=1)  # the best of the rows of an id
                     if exclude_same:
-                        row = np.where(names_ == q, -np.inf, row)
-                    for j in np.argsort(-row, kind="stable")[:k]:
-                        if np.isfinite(row[j]):
-                            out.append((q, str(names_[j]), float(row[j])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.string(), pa.float64()))], names=names)
+                        s[np.array(qids[lo : lo + 256])[:, None] == ids] = -np.inf
+                    t = min(k, s.shape[1])
+                    least = -np.partition(-s, t - 1, axis=1)[:, t - 1]
+                    i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                    by = np.lexsort((j, -s[i, j], i))  # ids are in order, so ties go to the smaller
+                    i, j = i[by], j[by]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    qs.append(i[keep] + lo)
+                    ds.append(j[keep])
+                    sc.append(s[i[keep], j[keep]])
+            pick = lambda names, idx: pa.array([names[v] for v in idx.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pick(qids, np.concatenate(qs)), pick(labels, np.concatenate(ds)), pa.array(np.concatenate(sc))], names=names)
 
     return vectors.select(F.col(id_col).cast("string"), F.col(vec_col)).mapInArrow(run, "qid string, doc string, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,9 @@ from corpusloom.operators import reports as P
 from corpusloom.operators import vectors as V
 from corpusloom.operators.greedy import dense_positions
 from corpusloom.plans.tables import ANSWERS, CHUNKS, WORDS, answers, chunks, table
-from corpusloom.session import stable
+from corpusloom.plans.retrieval import embed_sql
+from corpusloom.session import checkpoint_dir, stable, written
+from corpusloom.sources import jsonl as J
 
 Q, S = {}, {}
 
@@ -149,6 +152,33 @@ def merge_lexical(spark, sf) -> DataFrame:
     return C.merge_lexical(rows).select("video_id", F.col("span").cast("bigint").alias("chunk_index"), "segments", F.md5("raw_text").alias("digest"), "start_time", "end_time")
 
 
+_BARE = r"""trim(regexp_replace(regexp_replace({c}, '\[.*?\]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'), ' -.,')"""
+
+
+def _v1(c: str) -> str:
+    t = f"replace({c}, chr(10), ' ')"
+    for m in R.V1_MARKERS:
+        t = f"replace({t}, '{m}', '')"
+    return _BARE.format(c=t)
+
+
+S["pack_v1"] = f"""WITH RECURSIVE {CHUNKS}, {_SEG}, rows0 AS (SELECT video_id, pos, start, "end", {_v1("text")} AS text FROM segs), rows_ AS (SELECT *, len({_w("text")}) AS w FROM rows0 WHERE len({_w("text")}) > 0), {_FOLD},
+    f(video_id, rn, chunk, w, begin, done) AS (SELECT video_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), true FROM (SELECT DISTINCT video_id FROM r)
+    UNION ALL SELECT video_id, rn, chunk, w, begin, "end" - begin >= 30 OR w >= 20 FROM (SELECT r.video_id, r.rn, r."end", CASE WHEN f.done THEN f.chunk + 1 ELSE f.chunk END AS chunk, CASE WHEN f.done THEN r.w ELSE f.w + r.w END AS w,
+        CASE WHEN f.done THEN r.start ELSE f.begin END AS begin FROM f JOIN r ON r.video_id = f.video_id AND r.rn = f.rn + 1)),
+    g AS (SELECT f.video_id, f.chunk, count(*) AS segments, string_agg(r.text, ' ' ORDER BY r.rn) AS raw, min(r.start) AS start_time, arg_max(r."end", r.rn) AS end_time FROM f JOIN r ON r.video_id = f.video_id AND r.rn = f.rn GROUP BY ALL),
+    b AS (SELECT *, array_to_string(list_filter({_w("raw")}, lambda x: rtrim(lower(x), '.,!?') NOT IN ({", ".join(f"'{x}'" for x in R.V1_FILLERS)})), ' ') AS kept FROM g), h AS (SELECT *, {_v1("kept")} AS text FROM b)
+    SELECT video_id, chunk AS span, segments, md5(text) AS digest, start_time, end_time FROM h WHERE len({_w("text")}) >= 10"""
+_STARTS = lambda ps: "(" + " OR ".join(f"starts_with(lower(trim(text)), '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + ")"
+S["merge_lexical"] = f"""WITH RECURSIVE {CHUNKS}, c0 AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY chunk_index) AS rn, coalesce(chunk_text, '') AS text, start_time AS s, end_time AS e FROM chunks),
+    r AS (SELECT *, len({_w("text")}) AS w, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{x}'" for x in R.STOPWORDS)}))) AS c, {_STARTS(R.CONTINUATIONS)} AS cont, {_STARTS(R.TOPIC_SHIFTS)} AS shift, regexp_matches(text, ':\\s*$') AS colon FROM c0),
+    f(video_id, rn, chunk, w, begin, seen, colon) AS (SELECT video_id, rn, CAST(0 AS BIGINT), w, s, c, colon FROM r WHERE rn = 1
+    UNION ALL SELECT video_id, rn, CASE WHEN j THEN chunk ELSE chunk + 1 END, CASE WHEN j THEN fw + w ELSE w END, CASE WHEN j THEN begin ELSE s END, CASE WHEN j THEN list_distinct(list_concat(seen, c)) ELSE c END, colon FROM
+      (SELECT r.*, f.chunk, f.w AS fw, f.begin, f.seen, NOT (r.e - f.begin > 120 OR f.w + r.w > 250 OR (r.shift AND f.w >= 50)) AND (f.w < 50 OR r.w < 25 OR r.cont OR f.colon
+        OR (len(f.seen) > 0 AND len(r.c) > 0 AND len(list_intersect(f.seen, r.c))::DOUBLE / len(list_distinct(list_concat(f.seen, r.c))) >= 0.05)) AS j FROM f JOIN r ON r.video_id = f.video_id AND r.rn = f.rn + 1))
+    SELECT f.video_id, chunk AS chunk_index, count(*) AS segments, md5(string_agg(r.text, ' ' ORDER BY r.rn)) AS digest, min(r.s) AS start_time, arg_max(r.e, r.rn) AS end_time FROM f JOIN r ON r.video_id = f.video_id AND r.rn = f.rn GROUP BY ALL"""
+
+
 @query
 def merge_embedding(spark, sf) -> DataFrame:
     return C.merge_embedding(_with_similarity(spark, sf)).select("video_id", F.col("span").cast("bigint").alias("chunk_index"), "segments", "start_time", "end_time")
@@ -191,6 +221,7 @@ S["boundary_similarity"] = f"""WITH {CHUNKS}, v AS (SELECT chunk_id, any_value(e
 def merge_statistics(spark, sf) -> DataFrame:
     """Chunks in and out, merges, reduction and quartiles of the similarities (exclusive method)."""
     s = _with_similarity(spark, sf)
+    s = written(s)
     merged = C.merge_embedding(s)
     sims = s.where("pos > 0").select(F.round("sim", 6).alias("sim"))
     q = P.exclusive_quantiles(sims, "sim", [0.25, 0.5, 0.75])
@@ -200,6 +231,14 @@ def merge_statistics(spark, sf) -> DataFrame:
     return out.withColumn("merges", F.col("input_chunks") - F.col("output_chunks")).withColumn("reduction_pct", F.round(100 * F.col("merges") / F.col("input_chunks"), 4))
 
 
+_MERGED = S["merge_embedding"].replace("r.sim >= 0.65", "r.sim >= {t}")
+_EXCL = "round(l[CAST(j{q} AS BIGINT)] + (l[CAST(j{q} AS BIGINT) + 1] - l[CAST(j{q} AS BIGINT)]) * ({p} * (n + 1) - j{q}), 6) AS q{q}"
+S["merge_statistics"] = f"""WITH o AS (SELECT count(*) AS output_chunks FROM ({S['merge_embedding']})), b AS ({S['boundary_similarity']}), i AS (SELECT count(*) AS input_chunks FROM (SELECT DISTINCT chunk_id FROM transcript_v3)),
+    s AS (SELECT list_sort(list(sim)) AS l, count(*) AS n, round(avg(sim), 6) AS mean FROM b), j AS (SELECT *, {", ".join(f"least(greatest(floor({p} * (n + 1)), 1), n - 1) AS j{q}" for p, q in ((0.25, 25), (0.5, 50), (0.75, 75)))} FROM s)
+    SELECT input_chunks, output_chunks, {", ".join(_EXCL.format(p=p, q=q) for p, q in ((0.25, 25), (0.5, 50), (0.75, 75)))}, mean, input_chunks - output_chunks AS merges, round(100 * (input_chunks - output_chunks) / input_chunks, 4) AS reduction_pct FROM i, o, j"""
+S["merge_sweep"] = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, count(*) AS chunks FROM ({_MERGED.replace('{t}', str(t))})" for t in (0.55, 0.65, 0.72, 0.80))
+
+
 @query
 def chunk_ids(spark, sf) -> DataFrame:
     """Ids by position in the video, 0-based and 1-based, and timed ids."""
@@ -265,6 +304,166 @@ def embedding_texts(spark, sf) -> DataFrame:
     return chunks(spark, sf).select("chunk_id", e.alias("e")).select("chunk_id", F.md5("e").alias("digest"), T.token_estimate(F.col("e"), 1.28).alias("tokens"))
 
 
+def _clock_sql(c: str) -> str:
+    s = f"CAST(greatest(0, floor(coalesce({c}, 0))) AS BIGINT)"
+    return f"CASE WHEN {s} >= 3600 THEN lpad(({s} // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad(({s} % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(({s} % 60)::VARCHAR, 2, '0')"
+
+
+_CUTS = [f"CASE WHEN len(a) > 0 THEN 'Keywords: ' || array_to_string(a[1:greatest(len(a) - {i}, least(len(a), 3))], ', ') || chr(10) ELSE '' END" for i in range(4)]
+_FIRST = "CASE WHEN len(a) > 0 THEN 'Keywords: ' || array_to_string(a, ', ') || chr(10) || 'Keywords (Vietnamese): ' || array_to_string(list_filter(v, lambda x, i: NOT list_contains(v[1:i - 1], x)), ', ') || chr(10) ELSE '' END"
+S["embedding_texts"] = f"""WITH {CHUNKS}, low AS (SELECT chunk_id, lower(trim(coalesce(chunk_text, ''))) AS t FROM chunks), {_keyword_sql()}, m AS (SELECT {_MAP} AS m), h AS (SELECT chunk_id, t, a, list_transform(a, lambda x: m[x]) AS v FROM k{len(R.KEYWORDS)}, m),
+    e AS (SELECT chunk_id, 'Course: ' || coalesce(course, 'Unknown') || chr(10) || 'Lecture: ' || coalesce(title, 'Unknown') || chr(10) || 'Time: ' || {_clock_sql("start_time")} || ' - ' || {_clock_sql("end_time")} || chr(10) || 'Topic: ' || {_topic_sql()} || chr(10) AS head,
+      trim(coalesce(chunk_text, '')) AS body, a, v FROM h JOIN chunks USING (chunk_id)),
+    l AS (SELECT chunk_id, list_transform([{_FIRST}, {", ".join(_CUTS)}], lambda k: head || k || chr(10) || 'Content:' || chr(10) || body) AS l FROM e),
+    n AS (SELECT chunk_id, list_transform(l, lambda x: {{'x': x, 'n': CAST(round_even(len({_w("x")}) * 1.28, 0) AS BIGINT)}}) AS l FROM l), p AS (SELECT chunk_id, coalesce(list_filter(l, lambda x: x.n <= 240)[1], l[-1]) AS p FROM n)
+    SELECT chunk_id, md5(p.x) AS digest, p.n AS tokens FROM p"""
+
+
+@query
+def embedding_ready(spark, sf) -> DataFrame:
+    """Chunks as they go to the embedder: 16 columns with defaults, and the four lines of header before the text."""
+    c = chunks(spark, sf)
+    return T.embedding_ready(c, F.col("chunk_text")).select("chunk_id", "video_id", "title", "course", "playlist_id", "published_at", "source", "chunk_type", "chunk_index", "start_time", "end_time", "duration", "word_count", "token_estimate", F.md5("chunk_text").alias("text"), F.md5("embedding_text").alias("embedding"))
+
+
+_DEF = ", ".join(f"coalesce({c}, '') AS {c}" for c in ("chunk_id", "video_id", "title", "course", "playlist_id", "published_at", "source", "chunk_type")) + ", " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("chunk_index", "start_time", "end_time", "duration", "word_count", "token_estimate"))
+S["embedding_ready"] = f"""WITH {CHUNKS} SELECT {_DEF}, md5(coalesce(chunk_text, '')) AS text, md5('Course: ' || coalesce(course, 'Unknown') || chr(10) || 'Video: ' || coalesce(title, 'Unknown') || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || chr(10)
+    || 'Time: ' || {_clock_sql("start_time")} || ' - ' || {_clock_sql("end_time")} || chr(10) || chr(10) || coalesce(chunk_text, '')) AS embedding FROM chunks"""
+
+
+@query
+def evaluation_metadata(spark, sf) -> DataFrame:
+    """The eight fields that the evaluation index keeps of a chunk."""
+    e = lambda n: F.coalesce(F.col(n), F.lit("")).alias(n)
+    return chunks(spark, sf).select(e("chunk_id"), e("video_id"), e("title"), e("course"), F.coalesce("start_time", F.lit(0.0)).alias("start_time"), F.coalesce("end_time", F.lit(0.0)).alias("end_time"), F.coalesce("token_estimate", F.lit(0)).alias("token_count"), e("chunk_type"))
+
+
+S["evaluation_metadata"] = f"WITH {CHUNKS} SELECT coalesce(chunk_id, '') AS chunk_id, coalesce(video_id, '') AS video_id, coalesce(title, '') AS title, coalesce(course, '') AS course, coalesce(start_time, 0) AS start_time, coalesce(end_time, 0) AS end_time, coalesce(token_estimate, 0) AS token_count, coalesce(chunk_type, '') AS chunk_type FROM chunks"
+
+
+@query
+def title_topics(spark, sf) -> DataFrame:
+    """Topics by the marks of titles, on the titles as they are and with a mark put in."""
+    v = table(spark, sf, "videos").where("title is not null")
+    marked = F.concat(F.lit("Course I "), F.col("title"))
+    return v.select("video_id", T.extract_topic(marked).alias("topic"), T.extract_topic(F.concat(F.lit("CS V2"), F.col("title"))).alias("after_mark"))
+
+
+S["title_topics"] = r"""WITH v AS (SELECT video_id, title, 'Course I ' || title AS m, 'CS V2' || title AS n FROM videos WHERE title IS NOT NULL)
+    SELECT video_id, trim(regexp_replace(regexp_replace(trim(split_part(m, 'I ', 2)), '^[\p{L}\p{M}\p{N}_\s]+,\s*', ''), '\s+[\p{L}\p{M}\p{N}_]+ \d{4}$', '')) AS topic,
+    CASE WHEN contains(n, 'I ') THEN trim(regexp_replace(regexp_replace(trim(split_part(n, 'I ', 2)), '^[\p{L}\p{M}\p{N}_\s]+,\s*', ''), '\s+[\p{L}\p{M}\p{N}_]+ \d{4}$', '')) ELSE trim(split_part(n, 'V2', 2)) END AS after_mark FROM v"""
+
+
+@query
+def distance_scores(spark, sf) -> DataFrame:
+    """Similarities of adjacent chunks as each metric of a vector store would give them."""
+    s = boundary_similarity(spark, sf)
+    d = 2 - 2 * F.col("sim")
+    return s.select("video_id", "pos", F.round(T.distance_similarity(F.col("sim"), "inner_product"), 6).alias("inner_product"), F.round(T.distance_similarity(1 - F.col("sim"), "cosine"), 6).alias("cosine"), F.round(T.distance_similarity(d, "l2"), 6).alias("l2"))
+
+
+S["distance_scores"] = f"WITH b AS ({S['boundary_similarity']}) SELECT video_id, pos, sim AS inner_product, round(1 - (1 - sim), 6) AS cosine, round(1 / (1 + greatest(2 - 2 * sim, 0)), 6) AS l2 FROM b"
+
+
+@query
+def first_videos(spark, sf) -> DataFrame:
+    """The chunks of the first ten videos by id: the limit of a trial run."""
+    few = chunks(spark, sf).select("video_id").distinct().orderBy("video_id").limit(10)
+    return D.named_in(chunks(spark, sf), few, "video_id").groupBy("video_id").agg(F.count("*").alias("chunks"))
+
+
+S["first_videos"] = f"WITH {CHUNKS} SELECT video_id, count(*) AS chunks FROM chunks WHERE video_id IN (SELECT DISTINCT video_id FROM chunks ORDER BY video_id LIMIT 10) GROUP BY 1"
+
+
+# files: each is written to the checkpoint folder and read again
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def jsonl_sources(spark, sf) -> DataFrame:
+    """Chunks as lines of JSON, with broken lines, blank lines and rows without text among them: what the tolerant scan keeps, and what it keeps with a required column."""
+    c = chunks(spark, sf).select("chunk_id", "video_id", "chunk_text")
+    path, schema = _folder(spark, "jsonl"), "chunk_id string, video_id string, chunk_text string"
+    broken = spark.createDataFrame([('{"chunk_id": "broken', ), ("", )], "value string")
+    c.select(F.to_json(F.struct("*")).alias("value")).unionByName(broken).write.text(path)
+    every, full = J.read_jsonl(spark, path, schema), J.read_jsonl(spark, path, schema, required="chunk_text")
+    return every.join(full.select("chunk_id", F.lit(True).alias("full")), "chunk_id", "left").select("chunk_id", F.md5("chunk_text").alias("digest"), F.coalesce("full", F.lit(False)).alias("full"))
+
+
+S["jsonl_sources"] = f"WITH {CHUNKS} SELECT chunk_id, md5(chunk_text) AS digest, coalesce(length(chunk_text) > 0, false) AS full FROM chunks"
+
+
+@query
+def query_files(spark, sf) -> DataFrame:
+    """Questions as lines, as a JSON list, and as an object that holds the list."""
+    q = table(spark, sf, "test_query").select("query_id", F.when(F.pmod(F.length("question"), F.lit(2)) == 0, F.col("question")).alias("query"), F.col("question").alias("question_vi"))
+    one = F.to_json(F.struct("*"))
+    listed = q.agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))  # a query file is one value by its form
+    base = _folder(spark, "queries")
+    q.write.json(f"{base}/a.jsonl")
+    listed.write.text(f"{base}/b.json")
+    listed.select(F.concat(F.lit('{"queries": '), "value", F.lit("}")).alias("value")).write.text(f"{base}/c.json")
+    rows = [J.read_queries(spark, f"{base}/{f}", q.schema).withColumn("file", F.lit(f)) for f in ("a.jsonl", "b.json", "c.json")]
+    return reduce(DataFrame.unionByName, rows).select("file", "query_id", F.md5("text").alias("digest"))
+
+
+S["query_files"] = "SELECT file, query_id, md5(question) AS digest FROM test_query, (SELECT unnest(['a.jsonl', 'b.json', 'c.json']) AS file)"
+
+
+@query
+def line_ledger(spark, sf) -> DataFrame:
+    """Video ids added to a ledger of lines twice, read as a set; a ledger that is not there is empty."""
+    path = _folder(spark, "ledger")
+    J.append_ledger(table(spark, sf, "transcript_v3"), "video_id", path)
+    J.append_ledger(table(spark, sf, "videos"), "video_id", path)
+    return J.read_lines(spark, path).unionByName(J.read_lines(spark, path + "-none"))
+
+
+S["line_ledger"] = "SELECT trim(video_id) AS value FROM transcript_v3 WHERE video_id <> '' UNION SELECT trim(video_id) FROM videos WHERE video_id <> ''"
+
+
+@query
+def appended_lines(spark, sf) -> DataFrame:
+    """Playlists appended twice to a file of lines after videos overwrote it: rows, and what the overwrite counted."""
+    path = _folder(spark, "lines")
+    n = J.overwrite_jsonl(table(spark, sf, "videos").select(F.col("playlist_id").alias("id")), path)
+    for _ in (1, 2):
+        J.append_jsonl(table(spark, sf, "playlists").select(F.col("playlist_id").alias("id")), path)
+    return J.read_jsonl(spark, path, "id string", strict=True).agg(F.count("*").alias("rows"), F.lit(n).cast("long").alias("overwritten"))
+
+
+S["appended_lines"] = "SELECT (SELECT count(*) FROM videos) + 2 * (SELECT count(*) FROM playlists) AS rows, (SELECT count(*) FROM videos) AS overwritten"
+
+
+@query
+def cache_upsert(spark, sf) -> DataFrame:
+    """A cache of requests, missing at first, into which deliveries are put in two goes; the last delivery of each wins."""
+    path, schema = _folder(spark, "cache"), "request_id long, session_id string, top_k int"
+    r = table(spark, sf, "ask_request").select("request_id", "session_id", "top_k", F.unix_micros("received_at").alias("at"))
+    cache = J.upsert(J.read_table_or_empty(spark, path, schema), r.where("request_id % 2 = 0"), "request_id", "at")
+    cache.write.parquet(path)
+    return J.upsert(J.read_table_or_empty(spark, path, schema), r, "request_id", "at")
+
+
+S["cache_upsert"] = "SELECT request_id, arg_max(session_id, received_at) AS session_id, arg_max(top_k, received_at) AS top_k FROM ask_request GROUP BY 1"
+
+
+@query
+def report_file(spark, sf) -> DataFrame:
+    """A report with its configuration, written and read again."""
+    path = _folder(spark, "report")
+    J.report(P.bounds(chunks(spark, sf)), {"k": "5"}, counts_by_type(spark, sf), path)
+    s = J.read_jsonl(spark, f"{path}/summary", "config struct<k:string>, aggregate struct<chunks:long,videos:long>", strict=True)
+    rows = J.read_jsonl(spark, f"{path}/per_query", "chunk_type string, chunks long", strict=True)
+    return s.select("config.k", "aggregate.chunks", "aggregate.videos").crossJoin(rows.agg(F.sum("chunks").alias("by_type")))
+
+
+S["report_file"] = f"WITH {CHUNKS} SELECT '5' AS k, count(*) AS chunks, count(DISTINCT video_id) AS videos, count(*) AS by_type FROM chunks"
+
+
 @query
 def cleaned_texts(spark, sf) -> DataFrame:
     """Every cleaner over the chunks, as digests."""
@@ -330,9 +529,9 @@ def distribution_summary(spark, sf) -> DataFrame:
     return P.summary(c.select(F.col("token_estimate").cast("double").alias("v")), "v").withColumn("field", F.lit("token_estimate")).unionByName(P.summary(c.select((F.col("end_time") - F.col("start_time")).alias("v")), "v").withColumn("field", F.lit("span")))
 
 
-_SUM = """SELECT '{n}' AS field, count(v) AS n, min(v) AS min, l[1 + CAST(round_even(0.10 * (len(l) - 1), 0) AS INT)] AS p10, l[1 + CAST(round_even(0.25 * (len(l) - 1), 0) AS INT)] AS p25, quantile_cont(v, 0.5) AS median,
+_SUM = """SELECT '{n}' AS field, count(v) AS n, min(v) AS min, l[1 + CAST(round_even(0.10 * (len(l) - 1), 0) AS INT)] AS p10, l[1 + CAST(round_even(0.25 * (len(l) - 1), 0) AS INT)] AS p25, l[1 + CAST(round_even(0.50 * (len(l) - 1), 0) AS INT)] AS p50, l[1 + CAST(round_even(0.95 * (len(l) - 1), 0) AS INT)] AS p95, quantile_cont(v, 0.5) AS median,
     l[1 + CAST(round_even(0.75 * (len(l) - 1), 0) AS INT)] AS p75, l[1 + CAST(round_even(0.90 * (len(l) - 1), 0) AS INT)] AS p90, l[1 + CAST(round_even(0.99 * (len(l) - 1), 0) AS INT)] AS p99, max(v) AS max, round(avg(v), 6) AS mean
-    FROM (SELECT round({e}, 3) AS v FROM chunks WHERE {e} IS NOT NULL), (SELECT list_sort(list(round({e}, 3))) AS l FROM chunks WHERE {e} IS NOT NULL) GROUP BY l"""
+    FROM (SELECT {e} AS v FROM chunks WHERE {e} IS NOT NULL), (SELECT list_sort(list({e})) AS l FROM chunks WHERE {e} IS NOT NULL) GROUP BY l"""
 S["distribution_summary"] = f"WITH {CHUNKS} " + _SUM.format(n="token_estimate", e="CAST(token_estimate AS DOUBLE)") + " UNION ALL " + _SUM.format(n="span", e="(end_time - start_time)")
 
 
@@ -370,13 +569,40 @@ S["outliers"] = f"WITH b AS ({S['boundary_similarity']}) SELECT * FROM (SELECT '
 
 @query
 def structure_verdict(spark, sf) -> DataFrame:
-    """Shares against the accepted limits, as text."""
-    b = P.bounds(chunks(spark, sf))
-    v = lambda c, limit, name: F.when(F.col(c) / F.col("chunks") > limit, F.lit(f"too many {name}")).otherwise(F.lit("ok")).alias(f"{c}_verdict")
-    return b.select(v("short", 0.15, "short chunks"), v("long", 0.05, "long chunks"))
+    """Shares of short, long, hot and incoherent against the accepted limits, as text."""
+    b = P.bounds(chunks(spark, sf)).select((F.col("short") / F.col("chunks")).alias("short"), (F.col("long") / F.col("chunks")).alias("long"))
+    hot = boundary_similarity(spark, sf).agg(F.avg((F.col("sim") >= 0.85).cast("int")).alias("hot"))
+    inc = chunk_coherence(spark, sf).agg(F.avg(F.col("incoherent").cast("int")).alias("incoherent"))
+    v = lambda c, limit, name: F.when(F.col(c) > limit, F.lit(f"too many {name}")).otherwise(F.lit("ok")).alias(f"{c}_verdict")
+    every = b.crossJoin(hot).crossJoin(inc)  # one row each
+    return every.select(v("short", 0.15, "short chunks"), v("long", 0.05, "long chunks"), v("hot", 0.10, "hot boundaries"), v("incoherent", 0.10, "incoherent chunks"))
+
+
+_HALVES = f"""hw AS (SELECT chunk_id AS id, {_w("coalesce(chunk_text, '')")} AS w, list_filter(string_split(regexp_replace(coalesce(chunk_text, ''), '([.!?])[\\s\\p{{Z}}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM chunks),
+    hp AS (SELECT id, CASE WHEN len(s) >= 2 THEN s ELSE w END AS p FROM hw WHERE len(w) >= 30), hh AS (SELECT id, array_to_string(p[1:len(p) // 2], ' ') AS a, array_to_string(p[len(p) // 2 + 1:], ' ') AS b FROM hp)"""
+S["chunk_coherence"] = f"""WITH {CHUNKS}, {_HALVES}, {embed_sql("hh", "id", "a", "ha")}, {embed_sql("hh", "id", "b", "hb")}, d AS (SELECT ha.k AS id, sum(ha.v * hb.v) AS d FROM ha JOIN hb USING (k, b) GROUP BY 1),
+    c AS (SELECT hh.id, round(coalesce(d.d, 0) / (x.n * y.n), 6) AS coherence FROM hh JOIN ha_n x ON x.k = hh.id JOIN hb_n y ON y.k = hh.id LEFT JOIN d ON d.id = hh.id) SELECT hh.id, coalesce(coherence, 0) AS coherence, coalesce(coherence, 0) < 0.40 AS incoherent FROM hh LEFT JOIN c ON c.id = hh.id"""
+S["structure_verdict"] = f"""WITH b AS ({S['chunk_bounds']}), h AS ({S['boundary_similarity']}), i AS ({S['chunk_coherence']})
+    SELECT CASE WHEN short / chunks > 0.15 THEN 'too many short chunks' ELSE 'ok' END AS short_verdict, CASE WHEN long / chunks > 0.05 THEN 'too many long chunks' ELSE 'ok' END AS long_verdict,
+    CASE WHEN (SELECT avg(CAST(sim >= 0.85 AS INT)) FROM h) > 0.10 THEN 'too many hot boundaries' ELSE 'ok' END AS hot_verdict, CASE WHEN (SELECT avg(CAST(incoherent AS INT)) FROM i) > 0.10 THEN 'too many incoherent chunks' ELSE 'ok' END AS incoherent_verdict FROM b"""
+
+
+@query
+def outlier_file(spark, sf) -> DataFrame:
+    """The 30 hottest boundaries and the 30 least coherent chunks with their texts up to 200 characters, written as lines and read again."""
+    text = dense_positions(chunks(spark, sf), "video_id", "chunk_index").select("video_id", "pos", "chunk_id", F.left(F.coalesce("chunk_text", F.lit("")), F.lit(200)).alias("text"))
+    hot = boundary_similarity(spark, sf).orderBy(F.desc("sim"), "video_id", "pos").limit(30)
+    hot = hot.join(text.select("video_id", (F.col("pos") + 1).alias("pos"), F.col("text").alias("text_a")), ["video_id", "pos"]).join(text.drop("chunk_id").withColumnRenamed("text", "text_b"), ["video_id", "pos"])
+    bad = chunk_coherence(spark, sf).where("incoherent").orderBy("coherence", "id").limit(30).join(text.select(F.col("chunk_id").alias("id"), F.col("text").alias("text_a")), "id")
+    rows = hot.select(F.lit("hot").alias("kind"), "video_id", "pos", F.col("sim").alias("value"), "text_a", "text_b").unionByName(bad.select(F.lit("incoherent").alias("kind"), "id", F.col("coherence").alias("value"), "text_a"), allowMissingColumns=True)
+    path = f"{checkpoint_dir(spark)}/outliers-{uuid.uuid4().hex}"
+    J.overwrite_jsonl(rows, path)
+    return J.read_jsonl(spark, path, rows.schema, strict=True).select("kind", "video_id", "pos", "id", "value", F.md5("text_a").alias("text_a"), F.md5("text_b").alias("text_b"))
 
 
-S["structure_verdict"] = f"WITH b AS ({S['chunk_bounds']}) SELECT CASE WHEN short / chunks > 0.15 THEN 'too many short chunks' ELSE 'ok' END AS short_verdict, CASE WHEN long / chunks > 0.05 THEN 'too many long chunks' ELSE 'ok' END AS long_verdict FROM b"
+S["outlier_file"] = f"""WITH {CHUNKS}, t AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY chunk_index) - 1 AS pos, chunk_id, coalesce(chunk_text, '')[1:200] AS text FROM chunks), b AS ({S['boundary_similarity']}), c AS ({S['chunk_coherence']})
+    SELECT 'hot' AS kind, x.video_id, x.pos, NULL AS id, x.sim AS value, md5(p.text) AS text_a, md5(q.text) AS text_b FROM (SELECT * FROM b ORDER BY sim DESC, video_id, pos LIMIT 30) x JOIN t p ON p.video_id = x.video_id AND p.pos = x.pos - 1 JOIN t q ON q.video_id = x.video_id AND q.pos = x.pos
+    UNION ALL SELECT 'incoherent', NULL, NULL, x.id, x.coherence, md5(t.text), NULL FROM (SELECT * FROM c WHERE incoherent ORDER BY coherence, id LIMIT 30) x JOIN t ON t.chunk_id = x.id"""
 
 
 # ledgers and deduplication
@@ -384,11 +610,12 @@ S["structure_verdict"] = f"WITH b AS ({S['chunk_bounds']}) SELECT CASE WHEN shor
 
 @query
 def ledger_antijoin(spark, sf) -> DataFrame:
-    """Videos of the corpus that have no metadata row yet."""
-    return D.not_in_ledger(chunks(spark, sf).select("video_id").distinct(), table(spark, sf, "videos"), "video_id")
+    """Videos of the corpus that the ledger lacks; the ledger holds those whose digest begins below 8."""
+    done = table(spark, sf, "videos").where(F.substring(F.md5("video_id"), 1, 1) < "8")
+    return D.not_in_ledger(chunks(spark, sf).select("video_id").distinct(), done, "video_id")
 
 
-S["ledger_antijoin"] = "SELECT DISTINCT video_id FROM transcript_v3 WHERE video_id IS NOT NULL AND video_id NOT IN (SELECT video_id FROM videos WHERE video_id IS NOT NULL)"
+S["ledger_antijoin"] = "SELECT DISTINCT video_id FROM transcript_v3 t WHERE NOT EXISTS (SELECT 1 FROM videos v WHERE v.video_id = t.video_id AND md5(v.video_id)[1] < '8')"
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from corpusloom.functions import rules as R
 from corpusloom.operators import dedupe as D
 from corpusloom.operators import evaluate as E
 from corpusloom.operators import fusion as U
-from corpusloom.plans.retrieval import _ALPHA, _BOTH, _DENSE, _HEAD, _dense, _lex_sql, _lexical, _ranked
-from corpusloom.plans.tables import ANSWERS, WORDS, answers, questions
+from corpusloom.functions import text as T
+from corpusloom.operators.plugins import accepted_pair, accepted_rewrite, call, embedding, fallback_chain, judged, provider_calls
+from corpusloom.operators.reports import summary
+from corpusloom.plans.retrieval import _ALL, _ALPHA, _BOTH, _CW, _DENSE, _dense, _lex_sql, _lexical, _ranked, embed_sql
+from corpusloom.plans.tables import ANSWERS, WORDS, answers, index, table
+from corpusloom.session import stable
 
 Q, S = {}, {}
 
@@ -25,12 +31,22 @@ def _w(c: str) -> str:
 
 
 def _truth(spark, sf) -> DataFrame:
-    return questions(spark, sf).where("source_chunk_id is not null").select(F.col("query_id").alias("qid"), F.col("source_chunk_id").alias("doc"), F.lit(1.0).alias("gain"))
+    """The one source of every question that has one, with its course."""
+    lists = table(spark, sf, "playlists").select("playlist_id", "course")
+    course = table(spark, sf, "videos").join(lists, "playlist_id").select(F.col("video_id").alias("source_video_id"), lists["course"])
+    q = table(spark, sf, "test_query").where("source_chunk_id is not null").join(course, "source_video_id", "left")
+    return q.select(F.col("query_id").alias("qid"), F.col("source_chunk_id").alias("doc"), "course", F.lit(1.0).alias("gain"))
+
+
+def _paths(spark, sf) -> dict[str, DataFrame]:
+    """Hits of all questions by each way of retrieving."""
+    lex, den = stable(_lexical(spark, sf, every=True)), stable(_dense(spark, sf, every=True))
+    return {"sparse": lex, "dense": den, "hybrid": U.fuse_rrf(lex, den, k=None, alpha=R.ALPHA)}
 
 
 @query
 def rank_metrics(spark, sf) -> DataFrame:
-    return E.rank_metrics(_dense(spark, sf), _truth(spark, sf))
+    return E.rank_metrics(_dense(spark, sf, every=True), _truth(spark, sf))
 
 
 def _metric_sql(hits: str) -> str:
@@ -42,48 +58,151 @@ def _metric_sql(hits: str) -> str:
     return f"m AS (SELECT q.query_id AS qid, h.rank AS r FROM questions q LEFT JOIN {hits} h ON h.qid = q.query_id AND h.doc = q.source_chunk_id WHERE q.source_chunk_id IS NOT NULL), mm AS (SELECT qid, {', '.join(cols)} FROM m)"
 
 
-S["rank_metrics"] = _HEAD + _DENSE + ", " + _metric_sql("den") + " SELECT * FROM mm"
+S["rank_metrics"] = _ALL + _DENSE + ", " + _metric_sql("den") + " SELECT * FROM mm"
+
+
+@query
+def single_source_metrics(spark, sf) -> DataFrame:
+    """The whole family of metrics for one right document, by question, over the hybrid ranks, which may pass 20."""
+    return E.single_source(_paths(spark, sf)["hybrid"], _truth(spark, sf))
+
+
+_SINGLE = ", ".join(
+    [f"CAST(coalesce(r <= {k}, false) AS DOUBLE) AS hit_{k}" for k in (1, 3, 5, 6, 10, 20)] + [f"round(CASE WHEN r <= {k} THEN 1.0::DOUBLE / {k} ELSE 0.0 END, 6) AS precision_{k}" for k in (1, 3, 5, 10)]
+    + ["round(coalesce(1.0::DOUBLE / r, 0), 6) AS rr", "round(CASE WHEN r <= 3 THEN 1.0::DOUBLE / r ELSE 0 END, 6) AS rr_3", "round(coalesce(1.0::DOUBLE / r, 0), 6) AS ap"]
+    + [f"round(CASE WHEN r <= {k} THEN 1.0::DOUBLE / log2(r + 1) ELSE 0.0 END, 6) AS ndcg_{k}" for k in (3, 5, 10, 20)] + ["CAST(r IS NULL AS DOUBLE) AS miss"]
+)
+_HYBRID = f"{_lex_sql()}, {_DENSE}, {_BOTH}, {_ranked(_ALPHA, 9, None)}"
+S["single_source_metrics"] = _ALL + _HYBRID + f", m AS (SELECT q.query_id AS qid, h.rank AS r FROM questions q LEFT JOIN fused h ON h.qid = q.query_id AND h.doc = q.source_chunk_id WHERE q.source_chunk_id IS NOT NULL) SELECT qid, r AS rank, {_SINGLE} FROM m"
 
 
 @query
 def retrieval_comparison(spark, sf) -> DataFrame:
-    """Mean hit and reciprocal rank of the three paths, and which is best at 5."""
-    lex, den, truth = _lexical(spark, sf), _dense(spark, sf), _truth(spark, sf)
-    paths = {"sparse": lex, "dense": den, "hybrid": U.fuse_rrf(lex, den, k=None, alpha=R.ALPHA)}
+    """Mean hits and reciprocal rank of the three paths, overall and by course, in one pass; which is best at 5 (the first of
+    equals), and a verdict."""
+    truth = _truth(spark, sf)
     rows = None
-    for name, hits in paths.items():
-        m = E.rank_metrics(hits, truth).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "hit_10", "rr_10")]).withColumn("path", F.lit(name))
+    for order, (name, hits) in enumerate(_paths(spark, sf).items()):
+        m = E.single_source(hits, truth, ["course"]).select("course", *[f"hit_{k}" for k in (1, 3, 5, 10)], "rr").withColumn("path", F.lit(name)).withColumn("path_order", F.lit(order))
         rows = m if rows is None else rows.unionByName(m)
-    best = F.max("hit_5").over(Window.partitionBy())
-    verdict = F.when(F.col("hit_5") < 0.40, "broken").when((F.col("hit_5") >= 0.70) & (F.col("rr_10") >= 0.50), "good").otherwise("weak")
-    return rows.withColumn("best", F.col("hit_5") == best).withColumn("verdict", verdict)
+    rows = rows.withColumn("course", F.coalesce("course", F.lit("unknown")))
+    sets = rows.groupingSets([[F.col("path"), F.col("path_order")], [F.col("path"), F.col("path_order"), F.col("course")]], F.col("path"), F.col("path_order"), F.col("course"))
+    means = sets.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("hit_1", "hit_3", "hit_5", "hit_10", "rr")])
+    first = F.row_number().over(Window.partitionBy("course").orderBy(F.desc("hit_5"), "path_order")) == 1
+    verdict = F.when(F.col("hit_5") < 0.40, "broken").when((F.col("hit_5") >= 0.70) & (F.col("rr") >= 0.50), "good").otherwise("weak")
+    return means.withColumn("best", first).withColumn("verdict", verdict).drop("path_order")
+
+
+_COURSE = "c AS (SELECT q.query_id AS qid, coalesce(p.course, 'unknown') AS course FROM questions q LEFT JOIN videos v ON v.video_id = q.source_video_id LEFT JOIN playlists p ON p.playlist_id = v.playlist_id)"
+_PATHS = " UNION ALL ".join(f"SELECT '{p}' AS path, {i} AS o, c.course, r FROM (SELECT q.query_id AS qid, h.rank AS r FROM questions q LEFT JOIN {t} h ON h.qid = q.query_id AND h.doc = q.source_chunk_id WHERE q.source_chunk_id IS NOT NULL) JOIN c USING (qid)" for i, (p, t) in enumerate((("sparse", "lex"), ("dense", "den"), ("hybrid", "fused"))))
+S["retrieval_comparison"] = _ALL + f"""{_HYBRID}, {_COURSE}, p AS ({_PATHS}),
+    g AS (SELECT path, o, course, count(*) AS queries, {", ".join(f"round(avg(CAST(coalesce(r <= {k}, false) AS INT)), 6) AS hit_{k}" for k in (1, 3, 5, 10))}, round(avg(round(coalesce(1.0::DOUBLE / r, 0), 6)), 6) AS rr FROM p GROUP BY GROUPING SETS ((path, o), (path, o, course)))
+    SELECT path, course, queries, hit_1, hit_3, hit_5, hit_10, rr, row_number() OVER (PARTITION BY course ORDER BY hit_5 DESC, o) = 1 AS best, CASE WHEN hit_5 < 0.40 THEN 'broken' WHEN hit_5 >= 0.70 AND rr >= 0.50 THEN 'good' ELSE 'weak' END AS verdict FROM g"""
+
+
+@query
+def semantic_metrics(spark, sf) -> DataFrame:
+    """Cosines of questions, their hits and their sources, by the stand-in embedder."""
+    ix = index(spark, sf)
+    asked = table(spark, sf, "test_query")
+    q = asked.select(F.col("query_id").alias("qid"), embedding(F.col("question"), ix.embed).alias("vec"))
+    own = asked.select(F.col("query_id").alias("qid"), F.col("source_chunk_id").alias("doc")).join(ix.dense, "doc").select("qid", "vec")
+    return E.semantic(_lexical(spark, sf, every=True).where("rank <= 5"), q, ix.dense, own)
 
 
-_PATHS = " UNION ALL ".join(f"SELECT '{p}' AS path, round(avg(hit_1), 6) AS hit_1, round(avg(hit_3), 6) AS hit_3, round(avg(hit_5), 6) AS hit_5, round(avg(hit_10), 6) AS hit_10, round(avg(rr_10), 6) AS rr_10 FROM (WITH {_metric_sql(t)} SELECT * FROM mm)" for p, t in (("sparse", "lex"), ("dense", "den"), ("hybrid", "fused")))
-S["retrieval_comparison"] = _HEAD + f"""{_lex_sql()}, {_DENSE}, {_BOTH}, {_ranked(_ALPHA, 9, None)}, p AS ({_PATHS})
-    SELECT *, hit_5 = max(hit_5) OVER () AS best, CASE WHEN hit_5 < 0.40 THEN 'broken' WHEN hit_5 >= 0.70 AND rr_10 >= 0.50 THEN 'good' ELSE 'weak' END AS verdict FROM p"""
+S["semantic_metrics"] = _ALL + f"""{_lex_sql(k=5)}, {embed_sql("chunks", "chunk_id", "chunk_text", "cv")}, {embed_sql("questions", "query_id", "question", "qv")},
+    a AS (SELECT l.qid, l.doc, coalesce(sum(qv.v * cv.v), 0) AS d FROM lex l LEFT JOIN qv ON qv.k = l.qid LEFT JOIN cv ON cv.k = l.doc AND cv.b = qv.b GROUP BY ALL),
+    z AS (SELECT l.qid, l.doc, q.source_chunk_id AS s, coalesce(sum(sv.v * cv.v), 0) AS d FROM lex l JOIN questions q ON q.query_id = l.qid LEFT JOIN cv sv ON sv.k = q.source_chunk_id LEFT JOIN cv ON cv.k = l.doc AND cv.b = sv.b GROUP BY ALL),
+    c AS (SELECT a.qid, coalesce(a.d / (qn.n * cn.n), 0) AS c, coalesce(z.d / (sn.n * cn.n), 0) AS t FROM a JOIN z USING (qid, doc) LEFT JOIN qv_n qn ON qn.k = a.qid LEFT JOIN cv_n cn ON cn.k = a.doc LEFT JOIN cv_n sn ON sn.k = z.s)
+    SELECT query_id AS qid, round(coalesce(max(c), 0), 6) AS max_sim, round(coalesce(avg(c), 0), 6) AS mean_sim, round(coalesce(avg(CAST(c >= 0.5 AS INT)), 0), 6) AS semantic_precision, round(coalesce(max(CAST(t >= 0.7 AS INT)), 0), 6)::DOUBLE AS semantic_recall
+    FROM questions LEFT JOIN c ON c.qid = query_id GROUP BY 1"""
 
 
 @query
 def expected_rank(spark, sf) -> DataFrame:
     """Rank of each question's source among the lexical hits, null if it is missed."""
-    t = _truth(spark, sf).drop("gain")
-    return t.join(_lexical(spark, sf), ["qid", "doc"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
+    t = _truth(spark, sf).select("qid", "doc")
+    return t.join(_lexical(spark, sf, every=True), ["qid", "doc"], "left").groupBy("qid").agg(F.min("rank").alias("rank"))
 
 
-S["expected_rank"] = _HEAD + _lex_sql() + " SELECT q.query_id AS qid, min(l.rank) AS rank FROM questions q LEFT JOIN lex l ON l.qid = q.query_id AND l.doc = q.source_chunk_id WHERE q.source_chunk_id IS NOT NULL GROUP BY 1"
+S["expected_rank"] = _ALL + _lex_sql() + " SELECT q.query_id AS qid, min(l.rank) AS rank FROM questions q LEFT JOIN lex l ON l.qid = q.query_id AND l.doc = q.source_chunk_id WHERE q.source_chunk_id IS NOT NULL GROUP BY 1"
 
 
 @query
 def relevance_lookup(spark, sf) -> DataFrame:
     """Gain of each hit by its chunk id or its video, whichever is larger."""
-    q = questions(spark, sf)
+    q = table(spark, sf, "test_query")
     gains = q.select(F.concat_ws("|", "query_id", "source_chunk_id").alias("key"), F.lit(2.0).alias("gain")).unionByName(q.select(F.concat_ws("|", "query_id", "source_video_id").alias("key"), F.lit(1.0).alias("gain")))
-    hits = _lexical(spark, sf).withColumn("k1", F.concat_ws("|", "qid", "doc")).withColumn("k2", F.concat_ws("|", "qid", F.split_part("doc", F.lit(":"), F.lit(1))))
+    hits = stable(_lexical(spark, sf, every=True)).withColumn("k1", F.concat_ws("|", "qid", "doc")).withColumn("k2", F.concat_ws("|", "qid", F.split_part("doc", F.lit(":"), F.lit(1))))
     return D.lookup_any(hits, ["k1", "k2"], gains, "key", "gain").select("qid", "doc", "gain")
 
 
-S["relevance_lookup"] = _HEAD + _lex_sql() + """ SELECT qid, doc, CAST(CASE WHEN doc = source_chunk_id THEN 2 WHEN split_part(doc, ':', 1) = source_video_id THEN 1 ELSE 0 END AS DOUBLE) AS gain FROM lex JOIN questions ON query_id = qid"""
+S["relevance_lookup"] = _ALL + _lex_sql() + """ SELECT qid, doc, CAST(CASE WHEN doc = source_chunk_id THEN 2 WHEN split_part(doc, ':', 1) = source_video_id THEN 1 ELSE 0 END AS DOUBLE) AS gain FROM lex JOIN questions ON query_id = qid"""
+
+
+@query
+def context_judgements(spark, sf) -> DataFrame:
+    """Context precision and relevancy from a judge's rows, here rules: a hit of the source's video is useful, and sentences
+    are counted by rank."""
+    q = table(spark, sf, "test_query").select(F.col("query_id").alias("qid"), "source_video_id")
+    h = _lexical(spark, sf, every=True).where("rank <= 10").join(q, "qid")
+    useful = F.coalesce(F.split_part("doc", F.lit(":"), F.lit(1)) == F.col("source_video_id"), F.lit(False))
+    return E.context_precision(h.select("qid", "rank", useful.alias("useful"), (F.col("rank") % 5).alias("relevant_sentences"), F.lit(3).alias("total_sentences")))
+
+
+S["context_judgements"] = _ALL + _lex_sql(k=10) + """, u AS (SELECT qid, rank, CAST(coalesce(split_part(doc, ':', 1) = source_video_id, false) AS INT) AS u FROM lex JOIN questions ON query_id = qid),
+    r AS (SELECT *, sum(u) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS h FROM u)
+    SELECT qid, round(CASE WHEN sum(u) > 0 THEN sum(CASE WHEN u = 1 THEN h::DOUBLE / rank ELSE 0 END) / sum(u) ELSE 0.0 END, 6) AS context_precision, round(avg(least(1.0, (rank % 5)::DOUBLE / 3)), 6) AS context_relevancy FROM r GROUP BY 1"""
+
+
+@query
+def claims_and_entities(spark, sf) -> DataFrame:
+    """Claims of each truth (its sentences) that the answer holds word for word, and its content words found in the answer."""
+    a = answers(spark, sf).withColumn("low", F.lower(F.coalesce("answer", F.lit(""))))
+    claims = F.transform(F.filter(F.split(F.coalesce("ground_truth", F.lit("")), r"\. "), lambda s: s != ""), lambda s: F.struct(s.alias("text"), F.contains(F.col("low"), F.lower(s)).alias("supported")))
+    e = a.select(F.col("answer_id").alias("qid"), F.round(E.entity_recall(T.content_words(F.coalesce("ground_truth", F.lit(""))), F.col("low")), 6).alias("entity_recall"))
+    return E.claim_support(a.select(F.col("answer_id").alias("qid"), claims.alias("claims"))).join(e, "qid")
+
+
+S["claims_and_entities"] = rf"""WITH {ANSWERS}, a AS (SELECT answer_id AS qid, lower(coalesce(answer, '')) AS low, list_filter(string_split(coalesce(ground_truth, ''), '. '), lambda s: s <> '') AS c, {_CW.format(c="ground_truth")} AS e FROM answers)
+    SELECT qid, CASE WHEN len(c) = 0 THEN 0.0 ELSE round(len(list_filter(c, lambda s: contains(low, lower(s))))::DOUBLE / len(c), 6) END AS supported, CASE WHEN len(e) = 0 THEN 0.0 ELSE round(len(list_filter(e, lambda s: contains(low, s)))::DOUBLE / len(e), 6) END AS entity_recall FROM a"""
+
+
+@query
+def judged_answers(spark, sf) -> DataFrame:
+    """Answers through a stand-in judge that says JSON in code fences, with scores out of bounds and long reasons, or nothing of use."""
+
+    def judge(prompts: list[str]) -> list[str]:
+        return ["sorry" if len(p) % 5 == 0 else "```json\n" + json.dumps({"score": len(p) % 7 / 5, "reason": "because " * 20}) + "\n```" for p in prompts]
+
+    a = answers(spark, sf).select("answer_id", F.coalesce("answer", F.lit("")).alias("a"))
+    j = a.withColumn("j", judged(call(F.col("a"), judge, wait=0.1)["text"]))
+    return j.select("answer_id", F.round("j.score", 6).alias("score"), F.length("j.reason").alias("reason_chars"))
+
+
+S["judged_answers"] = f"WITH {ANSWERS}, a AS (SELECT answer_id, length(coalesce(answer, '')) AS n FROM answers) SELECT answer_id, CASE WHEN n % 5 = 0 THEN 0.0 ELSE round(least(1.0, (n % 7) / 5.0::DOUBLE), 6) END AS score, CASE WHEN n % 5 = 0 THEN 0 ELSE 120 END AS reason_chars FROM a"
+
+
+@query
+def judge_fallbacks(spark, sf) -> DataFrame:
+    """Calls per judge of a chain in which the next is asked where one has no score."""
+    names = ["groundedness", "noise_sensitivity", "response_relevancy"]
+    return provider_calls(answers(spark, sf).select(fallback_chain({n: F.col(n) for n in names}).alias("chain")))
+
+
+S["judge_fallbacks"] = f"""WITH {ANSWERS}, a AS (SELECT groundedness IS NOT NULL AS x, noise_sensitivity IS NOT NULL AS y, response_relevancy IS NOT NULL AS z FROM answers)
+    SELECT 'groundedness' AS provider, count(*) AS calls, count_if(x) AS answered FROM a UNION ALL SELECT 'noise_sensitivity', count_if(NOT x), count_if(NOT x AND y) FROM a WHERE NOT x HAVING count(*) > 0
+    UNION ALL SELECT 'response_relevancy', count_if(NOT x AND NOT y), count_if(NOT x AND NOT y AND z) FROM a WHERE NOT x AND NOT y HAVING count(*) > 0 UNION ALL SELECT NULL, count_if(NOT x AND NOT y AND NOT z), 0 FROM a"""
+
+
+@query
+def generated_pairs(spark, sf) -> DataFrame:
+    """Which test pairs and questions pass the acceptance rules of generation."""
+    q = table(spark, sf, "test_query")
+    return q.select("query_id", accepted_pair(F.col("question"), F.col("ground_truth")).alias("pair"), accepted_rewrite(F.col("question"), F.col("source_chunk_id").isNotNull()).alias("rewrite"))
+
+
+S["generated_pairs"] = f"SELECT query_id, length(trim(coalesce(question, ''))) >= 10 AND length(trim(coalesce(ground_truth, ''))) >= 20 AS pair, source_chunk_id IS NOT NULL AND len({_w("coalesce(question, '')")}) >= 5 AS rewrite FROM test_query"
 
 
 @query
@@ -119,39 +238,51 @@ def bleu(spark, sf) -> DataFrame:
     return answers(spark, sf).select("answer_id", F.round(E.bleu(F.col("answer"), F.col("ground_truth")), 6).alias("bleu"))
 
 
+def _gram_sql(n: int, side: str) -> str:
+    return f"list_transform(range(1, len({side}) - {n - 2}), lambda i: array_to_string({side}[i:i + {n - 1}], ' '))"
+
+
+_LOGS = " + ".join(f"ln(CASE WHEN m{n} > 0 THEN m{n}::DOUBLE ELSE 0.1 END / greatest(1, len(h{n}))) / 4" for n in (1, 2, 3, 4))
+S["bleu"] = f"""WITH {ANSWERS}, w AS (SELECT answer_id, {_w("lower(coalesce(answer, ''))")} AS h, {_w("lower(coalesce(ground_truth, ''))")} AS r FROM answers),
+    g AS (SELECT *, {", ".join(f"{_gram_sql(n, 'h')} AS h{n}, {_gram_sql(n, 'r')} AS r{n}" for n in (1, 2, 3, 4))} FROM w),
+    m AS (SELECT *, {", ".join(f"coalesce(list_sum(list_transform(list_distinct(h{n}), lambda x: least(len(list_filter(h{n}, lambda y: y = x)), len(list_filter(r{n}, lambda y: y = x))))), 0) AS m{n}" for n in (1, 2, 3, 4))} FROM g)
+    SELECT answer_id, CASE WHEN len(h) = 0 OR len(r) = 0 OR m1 = 0 THEN 0.0 ELSE round(CASE WHEN len(h) > len(r) THEN 1.0 ELSE exp(1 - len(r)::DOUBLE / len(h)) END * exp({_LOGS}), 6) END AS bleu FROM m"""
+
+
+_SCORES = ["exact_match", "string_presence", "bleu", "rouge_1", "rouge_2", "rouge_l", "instruction_following", "response_relevancy", "groundedness", "noise_sensitivity", "answer_latency_ms"]
+
+
 @query
 def metric_means(spark, sf) -> DataFrame:
-    """Means of the recorded scores, over all and per run, in one pass."""
-    cols = ["rouge_l", "groundedness", "answer_latency_ms"]
-    return E.means(answers(spark, sf).select("run_id", *cols), ["run_id"])
+    """Means of all recorded scores, over all and per run, in one pass."""
+    return E.means(answers(spark, sf).select("run_id", *_SCORES), ["run_id"])
 
 
-S["metric_means"] = f"WITH {ANSWERS} SELECT run_id, count(*) AS queries, round(avg(rouge_l), 6) AS rouge_l, round(avg(groundedness), 6) AS groundedness, round(avg(answer_latency_ms), 6) AS answer_latency_ms FROM answers GROUP BY ROLLUP (run_id)"
+S["metric_means"] = f"WITH {ANSWERS} SELECT run_id, count(*) AS queries, {', '.join(f'round(avg({c}) + 1e-12, 6) AS {c}' for c in _SCORES)} FROM answers GROUP BY ROLLUP (run_id)"
 
 
 @query
 def latency_percentiles(spark, sf) -> DataFrame:
     """Nearest-rank percentiles of latencies above 0."""
-    from corpusloom.operators.reports import summary
-
-    return summary(answers(spark, sf).where("answer_latency_ms > 0"), "answer_latency_ms").select("n", "median", "p90", "max", "mean")
+    return summary(answers(spark, sf).where("answer_latency_ms > 0"), "answer_latency_ms").select("n", "p50", "p90", "p95", "max", "mean")
 
 
-S["latency_percentiles"] = f"""WITH {ANSWERS}, v AS (SELECT round(answer_latency_ms, 3) AS v FROM answers WHERE answer_latency_ms > 0), l AS (SELECT list_sort(list(v)) AS l FROM v)
-    SELECT count(*) AS n, quantile_cont(v, 0.5) AS median, any_value(l[1 + CAST(round_even(0.9 * (len(l) - 1), 0) AS INT)]) AS p90, max(v) AS max, round(avg(v), 6) AS mean FROM v, l"""
+S["latency_percentiles"] = f"""WITH {ANSWERS}, v AS (SELECT answer_latency_ms AS v FROM answers WHERE answer_latency_ms > 0), l AS (SELECT list_sort(list(v)) AS l FROM v)
+    SELECT count(*) AS n, {', '.join(f"any_value(l[1 + CAST(round_even({p / 100} * (len(l) - 1), 0) AS INT)]) AS p{p}" for p in (50, 90, 95))}, max(v) AS max, round(avg(v), 6) AS mean FROM v, l"""
 
 
 @query
 def run_comparison(spark, sf) -> DataFrame:
-    """Mean ROUGE-L of two runs side by side."""
-    a = answers(spark, sf)
-    runs = [r[0] for r in a.where("run_id is not null").groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(2).collect()]
-    m = a.where(F.col("run_id").isin(*runs)).groupBy("run_id").agg(F.round(F.avg("rouge_l"), 6).alias("value")).withColumn("metric", F.lit("rouge_l"))
-    return D.pivot_runs(m, "metric", "run_id", "value", runs).toDF("metric", *[f"run_{i}" for i in range(1, len(runs) + 1)])
+    """Means of all scores of the two largest runs side by side, one row per metric, and which is higher (the first of equals)."""
+    a = answers(spark, sf).where("run_id is not null")
+    runs = [r[0] for r in a.groupBy("run_id").count().orderBy(F.desc("count"), "run_id").limit(2).collect()]
+    m = a.where(F.col("run_id").isin(*runs)).groupBy("run_id").agg(*[F.round(F.avg(c) + 1e-12, 6).alias(c) for c in _SCORES]).unpivot("run_id", _SCORES, "metric", "value")
+    out = D.pivot_runs(m, "metric", "run_id", "value", runs).toDF("metric", *[f"run_{i}" for i in range(1, len(runs) + 1)])
+    return out.withColumn("best", F.when(F.col("run_2") > F.col("run_1"), 2).otherwise(1))
 
 
-S["run_comparison"] = f"""WITH {ANSWERS}, t AS (SELECT run_id, row_number() OVER (ORDER BY count(*) DESC, run_id) AS n FROM answers WHERE run_id IS NOT NULL GROUP BY 1),
-    m AS (SELECT n, round(avg(rouge_l), 6) AS v FROM answers JOIN t USING (run_id) WHERE n <= 2 GROUP BY 1) SELECT 'rouge_l' AS metric, max(v) FILTER (n = 1) AS run_1, max(v) FILTER (n = 2) AS run_2 FROM m"""
+S["run_comparison"] = f"""WITH {ANSWERS}, t AS (SELECT run_id, row_number() OVER (ORDER BY count(*) DESC, run_id) AS n FROM answers WHERE run_id IS NOT NULL GROUP BY 1), a AS (SELECT * FROM answers JOIN t USING (run_id)),
+    m AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, round(avg({c}) FILTER (n = 1) + 1e-12, 6) AS run_1, round(avg({c}) FILTER (n = 2) + 1e-12, 6) AS run_2 FROM a" for c in _SCORES)}) SELECT *, CASE WHEN run_2 > run_1 THEN 2 ELSE 1 END AS best FROM m"""
 
 
 @query

@@ -56,22 +56,48 @@ S["hourly_events"] = "SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_
 
 @query
 def stream_dedupe(spark, sf) -> DataFrame:
-    """Requests once each from a stream, however late the second delivery."""
+    """Requests once each from a stream; state is kept for 60 days of event time, the latest a second delivery may come."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    s = I.new_rows(I.parquet_stream(spark, f"{sf}/ask_request.parquet*"), "request_id", "requested_at", "3650 days")
+    s = I.new_rows(I.parquet_stream(spark, f"{sf}/ask_request.parquet*"), "request_id", "requested_at", "60 days")
     return I.run_available(s.select("request_id", "session_id"), f"{base}/out", f"{base}/state")
 
 
 S["stream_dedupe"] = "SELECT DISTINCT request_id, session_id FROM ask_request"
 
 
+#: What a source might say, by event type: the messages that the classes tell apart.
+_SAID = {"view": "HTTP 429: Too Many Requests", "click": "Subtitles are disabled for this video", "signup": "NoTranscriptFound: no transcript for vi", "purchase": "quota exceeded for key", "error": "connection reset by peer"}
+
+
 @query
 def fetch_errors(spark, sf) -> DataFrame:
-    """Classes of error messages, here the event types as such."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events")).select("event_type", "events", T.error_class(F.col("event_type")).alias("class"), T.is_rate_limit(F.col("event_type")).alias("limited"))
+    """Classes of error messages, and which are a rate limit."""
+    said = F.create_map(*[F.lit(x) for kv in _SAID.items() for x in kv])[F.col("event_type")]
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events")).select("event_type", "events", T.error_class(said).alias("class"), T.is_rate_limit(said).alias("limited"))
+
+
+S["fetch_errors"] = f"""WITH e AS (SELECT event_type, count(*) AS events, lower(CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SAID.items())} END) AS m FROM events GROUP BY 1)
+    SELECT event_type, events, CASE WHEN regexp_matches(m, '429|too many requests|blocked|ipblocked|requestblocked') THEN 'blocked' WHEN contains(m, 'disabled') THEN 'transcripts_disabled' WHEN regexp_matches(m, 'no transcript|notranscript') THEN 'no_transcript' ELSE 'error' END AS class, regexp_matches(m, '429|rate_limit|quota') AS limited FROM e"""
+
+
+@query
+def stream_ingest(spark, sf) -> DataFrame:
+    """Chunks from a stream, each id once, and none that the ledger of an earlier run has; a second run adds nothing."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        I.ingest(I.parquet_stream(spark, f"{sf}/transcript_v3.parquet*"), f"{base}/out", f"{base}/ledger", "chunk_id", f"{base}/state{run}")
+    return spark.read.parquet(f"{base}/out").groupBy("chunk_id").agg(F.count("*").alias("rows"), F.max("video_id").alias("video_id"))
 
 
-S["fetch_errors"] = "SELECT event_type, count(*) AS events, CASE WHEN regexp_matches(lower(event_type), '429|too many requests|blocked|ipblocked|requestblocked') THEN 'blocked' WHEN contains(lower(event_type), 'disabled') THEN 'transcripts_disabled' WHEN regexp_matches(lower(event_type), 'no transcript|notranscript') THEN 'no_transcript' ELSE 'error' END AS class, regexp_matches(lower(event_type), '429|rate_limit|quota') AS limited FROM events GROUP BY 1"
+S["stream_ingest"] = "SELECT chunk_id, 1 AS rows, max(video_id) AS video_id FROM transcript_v3 WHERE chunk_id IS NOT NULL GROUP BY 1"
+
+
+@query
+def stream_stops(spark, sf) -> DataFrame:
+    """Where a user's clicks in a row reach three, from a stream with the count kept as state."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = I.parquet_stream(spark, f"{sf}/events.parquet*").select("user_id", "event_id", F.when(F.col("event_type") == "click", "blocked").otherwise("ok").alias("status"))
+    return I.run_available(I.stop_signals(e, "user_id", "event_id", "status", 3), f"{base}/out", f"{base}/state")
 
 
 @query
@@ -95,3 +121,6 @@ def run_counters(spark, sf) -> DataFrame:
 
 
 S["run_counters"] = "WITH f AS (SELECT request_id, count(*) AS n, min(epoch_us(received_at) - epoch_us(requested_at)) AS lag FROM ask_request GROUP BY 1) SELECT CASE WHEN n > 1 THEN 'repeated' WHEN lag > 86400000000 THEN 'late' ELSE 'success' END AS status, count(*) AS requests FROM f GROUP BY 1"
+
+
+S["stream_stops"] = f"SELECT user_id, event_id FROM ({S['event_streaks']}) WHERE streak = 3"

@@ -39,9 +39,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A cache table; missing or unreadable is empty."""
+    """A cache table; missing is empty, and files that cannot be read are left out."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
@@ -62,9 +62,13 @@ def append_ledger(df: DataFrame, key: str, path: str) -> None:
     df.select(F.col(key).cast("string")).where(F.col(key).isNotNull()).distinct().write.mode("append").text(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of the same key; the last of ``new`` wins."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of the same key; the last of ``new`` by ``order``, a column
+    of ``new`` alone, wins. Null keys of ``new`` are one key."""
+    fields = [c for c in new.columns if c not in (key, order)]
+    last = new.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in fields])
+    kept = old.join(last.select(F.col(key).alias("_key"), F.lit(1).alias("_new")), F.col(key).eqNullSafe(F.col("_key")), "left").where("_new is null").drop("_key", "_new")
+    return kept.unionByName(last)
 
 
 def cached(queries: DataFrame, cache: DataFrame, key: str, fallback: Column) -> DataFrame:

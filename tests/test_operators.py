@@ -5,8 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import context, dedupe, evaluate, fusion, lexical, reports, vectors
+from corpusloom import session
+from corpusloom.operators import context, dedupe, evaluate, fusion, lexical, plugins, reports, vectors
 from corpusloom.operators.greedy import Rule, dense_positions, greedy_spans
+from corpusloom.operators.plugins import hashing_embedder
+from corpusloom.operators.retriever import Retriever
+from corpusloom.sources import jsonl
 
 
 def up_to(limit, repeat):
@@ -226,3 +230,76 @@ def test_search_with_one_id_repeated_in_a_batch(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, vec array<float>")
     got = vectors.search(df, "id", "vec", q, 4).orderBy("rank").collect()
     assert [(r["doc"], r["rank"]) for r in got] == [("hot", 1), ("d0", 2), ("d1", 3), ("d2", 4)]
+
+
+def test_dense_search_counts_many_deliveries_of_an_id_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", [1.0, 0.0, 0.0])] * 20 + [(f"b{i}", [1.0, float(x), float(y)]) for i, (x, y) in enumerate(rng.normal(size=(7, 2)))]
+    df = spark.createDataFrame(rows, "id string, e array<double>").coalesce(1)
+    got = vectors.search(df, "id", "e", df.where("id = 'b0'").select(F.lit("q").alias("qid"), F.col("e").alias("vec")), 5).collect()
+    assert len(got) == 5 and len({r["doc"] for r in got}) == 5
+
+
+def test_upsert_keeps_the_last(spark, tmp_path):
+    old = spark.createDataFrame([("a", 0), ("b", 0)], "k string, v int")
+    new = spark.createDataFrame([("a", 2, 2), ("a", 1, 1), ("c", 5, 1), (None, 7, 1)], "k string, v int, at int")
+    assert {tuple(r) for r in jsonl.upsert(old, new, "k", "at").collect()} == {("a", 2), ("b", 0), ("c", 5), (None, 7)}
+    (tmp_path / "x.parquet").write_text("no parquet")
+    assert jsonl.read_table_or_empty(spark, str(tmp_path), "k string, v int").count() == 0
+    assert jsonl.read_table_or_empty(spark, str(tmp_path / "none"), "k string, v int").count() == 0
+
+
+def test_retriever_is_built_once_and_chains_its_steps(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "red apple pie"), ("d2", "green apple"), ("d3", None), ("d4", "blue sky over the sea")], "doc string, text string")
+    q = spark.createDataFrame([("q", "red apple"), ("n", None)], "qid string, text string")
+    path, built = str(tmp_path / "ix"), []
+    with pytest.raises(FileNotFoundError):
+        Retriever.read(spark, path, hashing_embedder())
+    for _ in (1, 2):
+        ix = Retriever.load_or_build(spark, path, lambda: built.append(1) or docs, hashing_embedder())
+    assert built == [1]
+    assert [(r["doc"], r["rank"]) for r in ix.retrieve(q, 2).orderBy("rank").collect()] == [("d1", 1), ("d2", 2)]
+    longest = ix.retrieve(q, 1, lambda a, b: F.length(b).cast("double")).collect()
+    assert [r["doc"] for r in longest] == ["d4"]
+    v = spark.createDataFrame([("q", "original", 1, "blue sea"), ("q", "q2_expanded", 0, "red apple")], "qid string, variant string, variant_ord int, text string")
+    got = ix.routed(v, 3).orderBy("rank").collect()
+    assert got[0]["doc"] == "d1" and got[0]["retrieved_by"][0] == "q2_expanded" and len(got) == 3
+
+
+def test_model_calls_are_tried_again_and_fail_by_row(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise ValueError("bad prompt")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", None)], "id string, p string").coalesce(1)
+    got = {r["id"]: r["r"] for r in df.select("id", plugins.call(F.col("p"), model, retries=2, wait=0.01).alias("r")).collect()}
+    assert (got["a"]["text"], got["b"]["text"], got["c"]["text"]) == ("X", None, "") and got["b"]["error"] == "bad prompt" and got["b"]["tries"] == 2
+    said = spark.createDataFrame([('```json\n{"score": 3, "reason": "r"}\n```',), ("nothing",), (None,)], "s string")
+    assert [tuple(r["j"]) for r in said.select(plugins.judged(F.col("s")).alias("j")).collect()] == [(1.0, "r"), (0.0, ""), (0.0, "")]
+
+
+def test_percentiles_are_exact_beyond_one_range(spark):
+    rng = random.Random(2)
+    xs = [rng.gauss(0, 1) for _ in range(3000)] + [1e12, 0.5, 0.5, 0.5]
+    s = reports.summary(spark.createDataFrame([(x,) for x in xs], "v double"), "v").first()
+    xs.sort()
+    assert all(s[f"p{p}"] == xs[round(p / 100 * (len(xs) - 1))] for p in (10, 25, 50, 75, 90, 95, 99)) and s["max"] == 1e12
+
+
+def test_a_cluster_must_name_its_checkpoint_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
