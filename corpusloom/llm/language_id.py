@@ -122,6 +122,19 @@ class LanguageModel:
                     elif len(res) > 1:
                         fitted += [(t[a:b], x, w) for x, a, b, _, _ in res if x]
 
+    @classmethod
+    def from_counts(cls, counts: dict[str, tuple[int, ...]]) -> LanguageModel:
+        """A model from words with their numbers in each language."""
+        self = cls.__new__(cls)
+        held: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(LANGS))
+        total = [1.0] * len(LANGS)
+        for w, c in counts.items():
+            for x in {w, fold(w)}:
+                held[x] = [a + b for a, b in zip(held[x], c)]
+            total = [a + b for a, b in zip(total, c)]
+        self._build(held, total)
+        return self
+
     def _fit(self, rows: list[tuple[str, str, float]]) -> None:
         counts: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(LANGS))
         total = [1.0] * len(LANGS)
@@ -134,6 +147,9 @@ class LanguageModel:
                 f = fold(w)
                 if f != w:
                     counts[f][i] += c
+        self._build(counts, total)
+
+    def _build(self, counts: dict[str, list[float]], total: list[float]) -> None:
         # every language's own function words count as seen, so that short samples know them
         for i, lang in enumerate(LANGS):
             for w in FUNCTION_WORDS[lang]:
@@ -247,10 +263,12 @@ class LanguageModel:
 
 def fit_language_model(queries: DataFrame, query_col: str, label_col: str, documents: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on at most ``SAMPLE_QUERIES`` labelled queries and ``SAMPLE_DOCUMENTS`` documents."""
-    rows = queries.select(F.col(query_col), F.col(label_col)).where(F.col(query_col).isNotNull() & F.col(label_col).isNotNull()).limit(SAMPLE_QUERIES).toArrow()
+    rows = queries.select(F.col(query_col).alias("t"), F.col(label_col).alias("x")).where("t is not null and x is not null")
+    rows = rows.orderBy(F.xxhash64("t", "x"), "t", "x").limit(SAMPLE_QUERIES).toArrow()  # by hash: no source at the head of a file fills the sample
     got = [(q, label_language(x), 1.0) for q, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]
     if documents is not None:
-        docs = documents.select(F.substring(text_col, 1, 4000), F.col(lang_col)).where(F.col(lang_col).isNotNull()).limit(SAMPLE_DOCUMENTS).toArrow()
+        docs = documents.select(F.col(text_col).alias("t"), F.col(lang_col).alias("x")).where("x is not null and t is not null").withColumn("h", F.xxhash64("t", "x"))
+        docs = docs.orderBy("h").limit(SAMPLE_DOCUMENTS).select("t", "x").toArrow()
         got += [(t, label_language(x), 0.1) for t, x in zip(docs.column(0).to_pylist(), docs.column(1).to_pylist()) if t]
     return LanguageModel([(t, x, w) for t, x, w in got if x])
 

@@ -2,10 +2,9 @@
 
 Copies: the response's words, after labels, are aligned with the prompt's by containment of
 three-word shingles and the longest common subsequence, repeated for repeated copies. Refusals: every
-sentence of the response but courtesies aligns with a refusal template (longest common
-subsequence over the longer side). Language: word scores of both sides; the model is fitted
-without labels, from function words, on a bounded sample. Truncation: open brackets and enumerations,
-trailing commas and, for a response without an end mark, a last word that sentences hardly ever end
+sentence of the response but courtesies aligns with a template of slots (:mod:`refusals`). Language: word scores of both
+sides; the model is fitted without labels, from function words, on all texts. Truncation: open brackets and
+enumerations, trailing commas and, for a response without an end mark, a last word that sentences hardly ever end
 with, or that is no word but the beginning of one; how often each word occurs and ends a sentence
 is counted over all texts.
 """
@@ -13,62 +12,36 @@ is counted over all texts.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from corpusloom.llm.language_id import LANGS, LanguageModel, fold, words_of
+from corpusloom.llm.language_id import LANGS, LanguageModel, fold
+from corpusloom.llm.refusals import is_refusal, plain
 from corpusloom.llm.wordlists import FUNCTION_WORDS
-from corpusloom.session import stable
+from corpusloom.session import written
 
-SAMPLE_TEXTS = 6000
+#: Words of the language model, the most frequent of the corpus.
+MODEL_WORDS = 200_000
 #: A word ends sentences "hardly ever" at this rate or below, if seen at least this often.
 FINAL_RATE, FINAL_SEEN = 0.004, 40
 #: A last word seen inside texts at most this often, and this much less than a longer one, is cut.
 CUT_SEEN, CUT_RATIO = 2, 10
-COPY_SHARE, REFUSAL_SHARE = 0.85, 0.6
+COPY_SHARE = 0.85
 LANGUAGE_EVIDENCE = 4.0
 
 #: Labels before an answer or a question, and place-holders, folded.
 LABELS = "answer|response|a|tra loi|dap an|cau tra loi|reponse|antwort|respuesta|question|q|you asked|your question|the question|cau hoi|ban hoi|frage|pregunta|vous avez demande"
 PLACEHOLDERS = frozenset("n/a|na|n.a|null|none|nil|nan|undefined|tbd|todo|empty|blank|missing|placeholder|no data|khong co|aucun|aucune|keine|ninguno|ninguna|lorem ipsum".split("|"))
-#: Refusals, folded, one template each.
-REFUSALS = [
-    "i don't know", "i do not know", "i don't know the answer", "i'm sorry but i can't help with that", "sorry i cannot answer this question",
-    "i cannot answer this question based on the provided excerpts", "as an assistant i am not able to give an answer here", "as an ai model i cannot answer that",
-    "i must decline to respond to this one", "sorry no answer can be given for this request", "no comment", "try asking something else about the course",
-    "the context does not mention this topic i would rather not guess", "this falls outside what i'm allowed to discuss", "please ask the teaching staff",
-    "unfortunately the retrieved passages contain no information about this so i have to leave the question open", "i am unable to answer this question", "i can't answer that",
-    "i won't answer this question", "there is not enough information to answer this question", "the provided context does not contain the answer", "i could not find relevant information in the provided excerpts",
-    "i'd prefer not to say", "it is impossible for me to answer",
-    "toi khong biet", "xin loi toi khong the tra loi cau hoi nay", "xin loi minh khong tra loi duoc", "toi khong tim thay thong tin lien quan trong cac doan trich duoc cung cap", "minh xin phep khong tra loi cau nay nhe",
-    "rat tiec noi dung bai giang khong de cap den van de nay nen toi khong tra loi duoc", "ngu canh khong du toi khong dam doan", "la mot tro ly toi khong duoc phep tra loi noi dung nay",
-    "khong co cau tra loi phu hop mong ban thong cam", "cau hoi nam ngoai pham vi ho tro cua toi ban vui long hoi tro giang", "toi khong the giup ban viec nay", "toi khong co du thong tin de tra loi", "khong the tra loi", "tai lieu khong nhac den dieu nay",
-    "je ne sais pas", "desole je ne peux pas repondre a cette question", "je prefere ne pas me prononcer", "je ne peux pas vous aider", "le contexte ne permet pas de repondre", "je ne suis pas en mesure de repondre", "les extraits fournis ne contiennent pas cette information", "je regrette mais je ne dispose pas de cette information",
-    "das weiss ich nicht", "ich weiss es nicht", "es tut mir leid das kann ich nicht beantworten", "dazu darf ich nichts sagen", "dazu kann ich nichts sagen", "leider kann ich diese frage nicht beantworten", "der kontext enthalt keine information dazu", "ich mochte dazu keine auskunft geben",
-    "no lo se", "lo siento no puedo responder a esta pregunta", "prefiero no opinar", "prefiero no responder", "no puedo ayudar con eso", "el contexto no contiene esa informacion", "no tengo permiso para hablar de eso", "no dispongo de informacion suficiente para responder", "lamentablemente no puedo contestar",
-]
-#: How courtesies begin, folded.
-COURTESIES = (
-    "good question", "great question", "thank you for", "thanks for", "that is a good question", "cau hoi rat hay", "cau hoi hay", "cam on ban", "cam on em", "bonne question", "merci pour", "merci de", "gute frage", "danke fur", "vielen dank", "buena pregunta", "gracias por", "hello", "hi", "xin chao", "bonjour", "hallo", "hola",
-)
 _LABEL = re.compile(rf"^[\s*_#>\"'“«\-]*(?:{LABELS})\s*[*_]*\s*[:：]\s*[*_]*\s*")
 _TAG = re.compile(r"<[^<>]{0,80}>|&nbsp;?|```\w*")
 _ENUM = re.compile(r"(?:^|[\s(])\(?(\d{1,2})[.)](?=\s|$)")
 _BULLET = re.compile(r"^\s*[-*•–]\s+\S", re.M)
 _ANNOUNCED = re.compile(r"\b([2-9]|1\d)\s+(?:\w+\s+)?(steps?|points?|reasons?|parts?|stages?|bước|buoc|điểm|lý do|phần|étapes?|points|raisons?|schritte?n?|punkte?|gründe|pasos?|puntos?|razones)\b\s*[:.]", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
-_PLAIN = re.compile(r"[^\w']+|_+")
-
-
-def plain(text: str) -> list[str]:
-    """Words in lower case without accents or signs."""
-    return _PLAIN.sub(" ", fold(text.lower().replace("’", "'").replace("ß", "ss"))).split()
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -113,34 +86,13 @@ def is_copy(question: list[str], answer_text: str) -> bool:
     return lcs(rep, a) >= COPY_SHARE * max(len(rep), len(a))
 
 
-_TEMPLATES = [t.split() for t in REFUSALS]
-
-
-def is_refusal(answer: str) -> bool:
-    seen = False
-    for s in _SENTENCE.split(answer):
-        w = plain(s)
-        if not w:
-            continue
-        joined = " ".join(w)
-        if joined.startswith(COURTESIES) and len(w) <= 14:
-            continue
-        if len(w) > 40 or not any(lcs(t, w) >= REFUSAL_SHARE * max(len(t), len(w)) for t in _TEMPLATES if len(t) <= 2 * len(w) and len(w) <= 2 * len(t)):
-            return False
-        seen = True
-    return seen
-
-
-def last_word(answer: str) -> str:
+def last_word(answer: Column) -> Column:
     """The last word in lower case, with accents, if no end mark follows it; else ''."""
-    t = answer.rstrip().rstrip("\"'”’»*_ ")
-    if not t or t[-1] in ".!?。)]}":
-        return ""
-    w = re.findall(r"[^\W_]+(?:['’][^\W_]+)*", t[-60:])
-    return w[-1].lower() if w and not w[-1].isdigit() else ""
+    return F.lower(F.regexp_extract(answer, r"((?=[\p{L}\p{M}\p{N}'’]*[\p{L}\p{M}])[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*)[^\p{L}\p{N}.!?。)\]}]*$", 1))
 
 
-def is_truncated(answer: str, dangling: frozenset[str]) -> bool:
+def is_truncated(answer: str, hangs: bool) -> bool:
+    """``hangs``: it ends with a word that sentences hardly ever end with, or with the beginning of one."""
     t = answer.rstrip()
     if t.endswith(("…", "...", "-", "–", "—", ",", ";", ":", "(", "[", "/")):
         return True
@@ -156,56 +108,87 @@ def is_truncated(answer: str, dangling: frozenset[str]) -> bool:
         items = max(len(_BULLET.findall(t)), len(set(_ENUM.findall(t[m.end() :]))))
         if 0 < items < int(m.group(1)):
             return True
-    w = last_word(t)
-    return bool(w) and w in dangling
+    return hangs
 
 
-def defect(question: str | None, answer: str | None, model: LanguageModel, dangling: frozenset[str]) -> str | None:
-    """The defect of one pair, or None."""
+def defect(question: str | None, answer: str | None, model: LanguageModel, hangs: bool, asked: tuple[str | None, float] | None = None) -> str | None:
+    """The defect of one pair, or None. ``asked``: the prompt's language, where it is known."""
     if is_empty(answer):
         return "empty"
     q = plain(question or "")
     if is_copy(q, answer):
         return "copied_question"
-    if is_refusal(answer):
+    if is_refusal(answer, frozenset(q)):
         return "refusal"
     if question:
-        asked, e1 = whole_language(model, question)
+        asked, e1 = asked or whole_language(model, question)
         given, e2 = whole_language(model, answer)
         if asked and given and asked != given and e1 >= LANGUAGE_EVIDENCE / 2 and e2 >= LANGUAGE_EVIDENCE:
             return "wrong_language"
-    return "truncated" if is_truncated(answer, dangling) else None
+    return "truncated" if is_truncated(answer, hangs) else None
+
+
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+
+
+def _words(text: str) -> list[str]:
+    """Words in lower case; French elided articles are words of their own."""
+    text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text.lower())
+    out = []
+    for w in _TOKEN.findall(text):
+        out += [p for p in re.split(r"(?<=['’])", w) if p] if "'" in w or "’" in w else [w]
+    return out
 
 
 def whole_language(model: LanguageModel, text: str) -> tuple[str | None, float]:
     """The language of a whole text and its evidence over the next best."""
     sums = [0.0] * len(LANGS)
-    for w, c in Counter(x[0] for x in words_of(text)).items():
-        for i, s in enumerate(model.score(w)):
-            sums[i] += c * s
+    for w in _words(text):
+        a, b, c, d, e = model.score(w)
+        sums[0] += a
+        sums[1] += b
+        sums[2] += c
+        sums[3] += d
+        sums[4] += e
     order = sorted(sums)
     e = order[-1] - order[-2]
     return (LANGS[sums.index(order[-1])] if e > 0 else None), e
 
 
-def fit_without_labels(texts: list[str]) -> LanguageModel:
-    """A language model from texts without labels: function words give the first ones."""
-    # function words without accents are told apart by those that only one language has
-    known = {lang: set(ws) | ({fold(w) for w in ws} if lang == "vi" else set()) for lang, ws in FUNCTION_WORDS.items()}
-    only = {lang: ws - set().union(*(o for x, o in known.items() if x != lang)) for lang, ws in known.items()}
-    rows = []
-    for t in texts:
-        ws = [w[0] for w in words_of(t)]
-        hits = {lang: sum(w in s for w in ws) for lang, s in only.items()}
-        best = sorted(hits.values())
-        if best[-1] >= 2 and best[-1] >= 2 * best[-2]:
-            rows.append((t, max(hits, key=hits.get), 1.0))
-    return LanguageModel(rows)
+# function words without accents are told apart by those that only one language has
+_FUNCTION = {lang: set(ws) | ({fold(w) for w in ws} if lang == "vi" else set()) for lang, ws in FUNCTION_WORDS.items()}
+_ONLY = {w: i for i, lang in enumerate(LANGS) for w in _FUNCTION[lang] - set().union(*(o for x, o in _FUNCTION.items() if x != lang))}
+
+
+def _first_guess(ws: list[str]) -> int | None:
+    """The language whose own function words a text has, by number."""
+    hits = [0] * len(LANGS)
+    for w in ws:
+        if w in _ONLY:
+            hits[_ONLY[w]] += 1
+    best = sorted(hits)
+    return hits.index(best[-1]) if best[-1] >= 2 and best[-1] >= 2 * best[-2] else None
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _last_words(a: pd.Series) -> pd.Series:
-    return a.map(lambda t: [last_word(t)] if t else [])
+def fit_without_labels(texts: DataFrame) -> LanguageModel:
+    """A language model from all of ``texts(t)``: each gets its language from function words, and words are counted by language,
+    within batches first. The ``MODEL_WORDS`` most frequent words come to the driver; rarer ones are scored by their letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                ws = _words(t or "")
+                i = _first_guess(ws)
+                if i is not None:
+                    counts.update((w, i) for w in ws)
+            ws, ls = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(ls, pa.int32()), pa.array(counts.values(), pa.int64())], names=["w", "lang", "n"])
+
+    each = texts.mapInArrow(run, "w string, lang int, n long").groupBy("w").agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(LANGS))])
+    total = sum((F.col(f"n{i}") for i in range(len(LANGS))), F.lit(0))
+    rows = each.orderBy(F.desc(total), "w").limit(MODEL_WORDS).toArrow()
+    return LanguageModel.from_counts(dict(zip(rows.column(0).to_pylist(), zip(*(rows.column(i + 1).to_pylist() for i in range(len(LANGS)))))))
 
 
 def pair_defects(df: DataFrame, id_col: str, question_col: str, answer_col: str) -> DataFrame:
@@ -216,26 +199,32 @@ def pair_defects(df: DataFrame, id_col: str, question_col: str, answer_col: str)
     whole. An empty table gives an empty table. Other columns are ignored.
     """
     pairs = df.select(F.col(id_col).cast("string").alias("pair_id"), F.col(question_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a")).distinct()
-    sample = pairs.select(F.array("q", "a").alias("t")).where(F.coalesce(F.length("q"), F.lit(0)) > 0).limit(SAMPLE_TEXTS // 2).toArrow().column(0).to_pylist()
-    model = fit_without_labels([t for pair in sample for t in pair if t])
+    pairs = written(pairs.withColumn("w", last_word(F.coalesce("a", F.lit("")))))
+    model = fit_without_labels(pairs.select(F.explode(F.array("q", "a")).alias("t")))
 
-    # the last words of responses without an end mark, and how often words occur and end sentences elsewhere
-    lasts = pairs.select(F.explode(_last_words("a")).alias("w")).where("w <> ''").distinct()
+    # how often words occur and end sentences; which last words of responses sentences hardly end with, or are cut
     token = F.explode(F.regexp_extract_all(F.lower(F.col("a")), F.lit(r"(?U)([\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*)[.!?]?(?=[\s\"',;:()\[\]])"), F.lit(0))).alias("w")
     texts = pairs.select(F.explode(F.array("q", "a")).alias("a")).where("a is not null")
     words = texts.select(F.concat("a", F.when(F.col("a").rlike(r"[.!?]\s*$"), " ").otherwise("")).alias("a")).select(token)
     ends = F.col("w").rlike(r"[.!?]$")
-    counts = stable(words.groupBy(F.regexp_replace("w", r"[.!?]$", "").alias("w")).agg(F.count("*").alias("n"), F.count_if(ends).alias("final")))
+    counts = written(words.groupBy(F.regexp_replace("w", r"[.!?]$", "").alias("w")).agg(F.count("*").alias("n"), F.count_if(ends).alias("final")))
     rare = counts.where((F.col("n") >= FINAL_SEEN) & (F.col("final") <= FINAL_RATE * F.col("n"))).select("w")
     longer = counts.where(F.col("n") >= CUT_RATIO).select(F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("k"), "w", "n").where("k < length(w)").groupBy(F.substring("w", F.lit(1), F.col("k")).alias("w")).agg(F.max("n").alias("longer"))
+    lasts = pairs.where("w <> ''").select("w").distinct()
     cut = lasts.join(longer, "w").join(counts, "w", "left").where(F.coalesce("n", F.lit(0)) <= CUT_SEEN).where(F.col("longer") >= CUT_RATIO * F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).select("w")
-    # only words that some response really ends with come to the driver
-    dangling = frozenset(r[0] for r in rare.join(lasts, "w", "left_semi").unionByName(cut).collect())
+    hanging = rare.join(lasts, "w", "left_semi").unionByName(cut).distinct().withColumn("hangs", F.lit(True))
+    rows = pairs.join(hanging, "w", "left").select("pair_id", "q", "a", F.coalesce("hangs", F.lit(False)).alias("hangs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, qs, ans = (c.to_pylist() for c in b.columns)
-            found = [(i, d) for i, q, a in zip(ids, qs, ans) if (d := defect(q, a, model, dangling))]
+            known: dict[str, tuple[str | None, float]] = {}  # prompts recur within a batch
+            found = []
+            for i, q, a, h in zip(*(c.to_pylist() for c in b.columns)):
+                if q and q not in known:
+                    known[q] = whole_language(model, q)
+                d = defect(q, a, model, h, known.get(q))
+                if d:
+                    found.append((i, d))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["pair_id", "defect"])
 
-    return pairs.mapInArrow(run, "pair_id string, defect string").distinct()
+    return rows.mapInArrow(run, "pair_id string, defect string").distinct()

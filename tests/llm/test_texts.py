@@ -92,12 +92,102 @@ def test_refusals():
         assert not pair_defects.is_refusal(a), a
 
 
+#: Written before the templates and apart from the tables; none was used to word a template's phrases from.
+HELD_OUT = [
+    "I'm afraid I have no idea.",
+    'That is beyond my knowledge.',
+    'Darüber liegen mir keine Angaben vor.',
+    'Me temo que no tengo la respuesta.',
+    "Honestly, I couldn't tell you.",
+    "I haven't got a clue.",
+    "Sorry, but that's not something I can help with.",
+    "There isn't enough detail in the excerpts for me to respond.",
+    'I would rather skip this question.',
+    'The transcript says nothing on this subject.',
+    'We are unable to provide a response.',
+    "I don't have access to that information.",
+    'Mình không rõ câu trả lời.',
+    'Rất tiếc, tôi chưa thể giải đáp thắc mắc này.',
+    'Tài liệu không có thông tin về vấn đề này.',
+    'Em chịu, không biết.',
+    'Xin lỗi, tôi không được phép bàn về chuyện này.',
+    'Tôi không chắc nên không thể trả lời.',
+    'Bạn nên hỏi giảng viên thì hơn.',
+    "Je n'en ai aucune idée.",
+    'Désolé, je ne suis pas autorisé à répondre.',
+    'Le texte ne dit rien à ce sujet.',
+    'Je ne saurais vous répondre.',
+    "Je n'ai pas assez d'informations pour répondre.",
+    "Il m'est impossible de répondre à cette question.",
+    'Cela dépasse mes compétences.',
+    'Keine Ahnung.',
+    'Leider weiß ich das nicht.',
+    'Ich bin nicht in der Lage, das zu beantworten.',
+    'Der Text sagt dazu nichts.',
+    'Das liegt außerhalb meines Wissens.',
+    'Ich möchte darauf lieber nicht antworten.',
+    'Dazu fehlen mir die Informationen.',
+    'No tengo ni idea.',
+    'Lo lamento, no puedo contestar.',
+    'Desconozco la respuesta.',
+    'El documento no dice nada sobre esto.',
+    'No estoy autorizado a hablar de ese tema.',
+    'Eso queda fuera de mi alcance.',
+    'No hay información suficiente para responder.',
+]
+GENUINE = [
+    'The gradient does not vanish because the residual path carries it.',
+    'Hidden layers learn features.',
+    'Historically, this method came first.',
+    'The model cannot see future tokens, so a mask hides them.',
+    'No, the learning rate is not fixed; it decays over time.',
+    "The encoder has no access to the decoder's state.",
+    'We do not know the true distribution, so we sample from it and average the loss.',
+    'There is not enough memory for a batch of that size, so gradients are accumulated.',
+    'Attention answers the question which tokens matter most.',
+    'Mô hình không biết nhãn của dữ liệu nên học từ cấu trúc.',
+    'Không, hàm mất mát giảm dần theo thời gian.',
+    "Le modèle ne connaît pas la réponse, il l'estime par descente de gradient.",
+    'Non, la couche ne change pas la dimension.',
+    'Das Modell kennt die Zukunft nicht, deshalb gibt es eine Maske.',
+    'Nein, die Lernrate bleibt nicht gleich.',
+    'El modelo no conoce la etiqueta y aprende de la estructura.',
+    'No, la capa no cambia la dimensión.',
+    'About 512 tokens.',
+    'Yes.',
+    'The context is cut to 1,024 tokens since longer inputs do not fit.',
+    'It is not possible to invert a hash, which is why passwords are stored that way.',
+    'The teacher model gives soft labels that the student learns.',
+    'Ask yourself what the loss measures: the distance from the target.',
+    'The notes mention no regularisation other than dropout.',
+    'Hi there, the answer is cross entropy.',
+]
+
+
+def test_refusals_in_phrasings_held_out():
+    assert sum(pair_defects.is_refusal(a) for a in HELD_OUT) >= 0.95 * len(HELD_OUT)
+    assert not [a for a in GENUINE if pair_defects.is_refusal(a)]
+
+
+def test_courtesies_are_whole_words():
+    for a in ("Hidden layers learn features. I don't know.", "Historically, it came first. I can't say.", "Thanks to dropout, the network generalises better to new data that it has not seen before. I don't know."):
+        assert not pair_defects.is_refusal(a), a
+    for a in ("Hi! I don't know.", "Thank you for the question about softmax. I can't answer that.", "Sorry. No idea."):
+        assert pair_defects.is_refusal(a), a
+
+
 def test_truncation():
-    cut = frozenset(["the", "that", "grad"])
+    cut = ("the", "that", "grad")
     for a in ("We do this and,", "It works because the", "The reason is that…", "One. (see for example the", "There are 3 steps: 1) One step. 2) Two steps. 3)", "There are 3 steps:\n- one\n- two", "All of the grad"):
-        assert pair_defects.is_truncated(a, cut), a
+        assert pair_defects.is_truncated(a, a.endswith(cut)), a
     for a in ("It works", "Sequence tagger: 59.", "Fine. (Layer norm)", "There are 2 steps:\n- one thing\n- another thing", "y = softmax(Wx + b)", "Cited here. [2][5]", "Done.", "42"):
-        assert not pair_defects.is_truncated(a, cut), a
+        assert not pair_defects.is_truncated(a, a.endswith(cut)), a
+
+
+def test_last_words(spark):
+    rows = [("We do the", "the"), ("It ends.", ""), ("Bộ giải mã ĐÓ \"", "đó"), ("no mark)", ""), ("about 42", ""), ("l'unité", "l'unité"), ("x2", "x2"), ("", ""), ("?", ""), ("word ,", "word"), ("**bold**", "bold")]
+    df = spark.createDataFrame(rows, "a string, w string")
+    assert [(r["a"], r["got"]) for r in df.select("a", pair_defects.last_word(df["a"]).alias("got")).collect()] == rows
 
 
 def test_lcs_against_a_table():
