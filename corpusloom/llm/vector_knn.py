@@ -39,8 +39,8 @@ SCAN_BLOCK = 16384
 SUB = 2
 #: Weight of the parallel residual; ScaNN's ratio (d - 1) t^2 / (1 - t^2) for t = 0.25, d = 64.
 PARALLEL_WEIGHT = 4.2
-#: Error allowed for the score of two four-bit codes when a similarity floor is given.
-MARGIN = 0.17
+#: Part of the pairs exactly at a similarity floor that the scores of their codes must let through.
+FLOOR_RECALL = 0.9995
 _GROUP = (("cell", pa.int64()), ("vb", pa.int32()), ("qb", pa.int32()))
 
 
@@ -131,6 +131,17 @@ class Index:
         m = self.books.shape[0]
         return self.books[np.arange(m), c[:, :m]].reshape(len(packed), m * SUB)
 
+    def margin(self, sample: np.ndarray, floor: float, seed: int = 11) -> float:
+        """How far the codes' score may lie below ``floor`` for pairs of that similarity, measured on the sample: each vector
+        meets one turned from it towards another vector of the sample."""
+        rng = np.random.default_rng(seed)
+        x = np.repeat(sample, -(-8000 // len(sample)), axis=0)
+        u = x[rng.permutation(len(x))] + rng.normal(size=x.shape) * 1e-3
+        u -= (u * x).sum(axis=1, keepdims=True) * x
+        y = floor * x + (1 - floor**2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+        coded = [self.decode(self.encode(v.astype(np.float32))) for v in (x, y)]
+        return float(np.quantile(floor - (coded[0] * coded[1]).sum(axis=1), FLOOR_RECALL))
+
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` best cells of each vector, the best first."""
         x = self._padded(x)
@@ -251,7 +262,7 @@ def _compare_cells(vecs: DataFrame, rows: DataFrame, index: Index, sample: np.nd
                 names=["cell", "vb", "qb", "role", "vs", "cs"],
             )
 
-    floor = None if min_similarity is None else min_similarity - MARGIN
+    floor = None if min_similarity is None else min_similarity - index.margin(sample, min_similarity)
 
     def scan(key: tuple, table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
@@ -354,9 +365,9 @@ def similar_vectors(
     ``min_similarity`` leaves out neighbours below it, which lets few cells suffice.
     ``exhaustive`` compares with all rows exactly and has no use for ``min_similarity`` as a filter of
     cells, ``probes``, ``per_block`` or ``rerank``. With a floor, all candidates of a query in a block go on, and where
-    they are more than ``per_block`` (40) the query is compared with the whole block exactly. Without one,
-    ``per_block`` of each query and block (about four times an even share of ``rerank``) go on and
-    the ``rerank`` best by code are reranked, an approximation. Ties go to the smaller id.
+    they are more than ``per_block`` (40) the query is compared with the whole block exactly; how far below the floor codes may score
+    is measured on the sample. Without a floor, the ``rerank`` best by code are reranked, an approximation at every
+    size: use ``exhaustive`` where it must not be one. Ties go to the smaller id.
 
     Null ids and null, all-zero, non-finite or wrongly sized vectors have no neighbours and are
     none. Repeated rows count once, by id; an id with several vectors has the neighbours of each.
@@ -376,7 +387,7 @@ def similar_vectors(
         return spark.createDataFrame([], out)
     index = None if exhaustive else Index(sample.astype(np.float32), n)
     dim, width = sample.shape[1], probes or probes_for(n)
-    keep = per_block or (40 if min_similarity is not None else min(rerank, max(12, 4 * rerank * BLOCK // max(n, 1))))
+    keep = per_block or (40 if min_similarity is not None else rerank)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
