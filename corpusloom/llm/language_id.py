@@ -70,9 +70,11 @@ def label_language(label: str | None) -> str | None:
     return _NAMES.get(s) or _NAMES.get(re.split(r"[-_ ]", s)[0]) if s else None
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def fold(s: str) -> str:
-    t = unicodedata.normalize("NFD", s)
-    return "".join(c for c in t if not 0x300 <= ord(c) < 0x370).replace("đ", "d")
+    return s if s.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", s)).replace("đ", "d")
 
 
 def _candidates(word: str) -> tuple[int, ...] | None:
