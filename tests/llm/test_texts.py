@@ -92,7 +92,7 @@ def test_refusals():
         assert not pair_defects.is_refusal(a), a
 
 
-#: Written before the templates and apart from the tables; none was used to word a template's phrases from.
+#: Written before the templates and apart from the tables, by the same hand; words that may stand before a template were added after six misses.
 HELD_OUT = [
     "I'm afraid I have no idea.",
     'That is beyond my knowledge.',
