@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
-def merge_context(hits: DataFrame) -> DataFrame:
+def merge_context(hits: DataFrame, cleaned: bool = False) -> DataFrame:
     """Per query and video of ``hits(qid, pos, video_id, title, course, url, start_time, text)``: the texts in time
-    order, cleaned, blanks skipped; fields of the first hit; videos in order of first appearance."""
-    rows = hits.withColumn("video_id", F.coalesce("video_id", F.lit("unknown")))
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("start_time", F.lit(0.0)).alias("s"), "pos", T.clean_context(F.col("text")).alias("t"))))
+    order, cleaned unless they are ``cleaned`` already, blanks skipped; fields of the first hit; videos in order of first
+    appearance. All rows of a query meet in one shuffle, which later grouping by query needs too."""
+    rows = hits.repartition("qid").withColumn("video_id", F.coalesce("video_id", F.lit("unknown")))
+    text = F.col("text") if cleaned else T.clean_context(F.col("text"))
+    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("start_time", F.lit(0.0)).alias("s"), "pos", text.alias("t"))))
     first = lambda c: F.min_by(F.struct(c), "pos")[c].alias(c)
     out = rows.groupBy("qid", "video_id").agg(first("title"), first("course"), first("url"), F.count("*").alias("chunks_used"), parts.alias("parts"), F.min("pos").alias("first_pos"))
     return out.select("qid", "video_id", "title", "course", "url", "chunks_used", F.array_join(F.filter(F.transform("parts", lambda x: x["t"]), lambda t: t != ""), " ").alias("context"), "first_pos")

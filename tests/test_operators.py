@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import numpy as np
@@ -82,6 +83,62 @@ def test_bm25_and_index_tables(spark, tmp_path):
     assert again == hits
 
 
+def _bm25(docs, asked, k):
+    """Okapi scores in plain Python; rows of one id are one document with a length per row."""
+    lens, tf = {}, {}
+    for d, t in docs:
+        ws = (t or "").lower().split()
+        lens.setdefault(d, []).append(len(ws))
+        for w in ws:
+            tf.setdefault(w, {}).setdefault(d, 0)
+            tf[w][d] += 1
+    every = [x for xs in lens.values() for x in xs]
+    n, avg = len(every), sum(every) / len(every)
+    raw = {w: math.log(n - len(ds) + 0.5) - math.log(len(ds) + 0.5) for w, ds in tf.items()}
+    mean = sum(raw.values()) / len(raw)
+    out = {}
+    for q, t in asked:
+        got = {}
+        for w in (t or "").lower().split():
+            for d, f in tf.get(w, {}).items():
+                got[d] = got.get(d, 0) + sum((0.25 * mean if raw[w] < 0 else raw[w]) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * x / avg)) for x in lens[d])
+        out[q] = sorted(((d, round(x, 6)) for d, x in got.items()), key=lambda y: (-y[1], y[0]))[:k]
+    return out
+
+
+def test_bm25_blocks_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    common, rare = ["the", "of", "net"], [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(n))
+    docs = [(f"d{i:03d}", text(rng.randint(0, 12))) for i in range(200)] + [("d003", "the w1 w2"), ("d900", None)]
+    docs += [(f"e{i}", docs[7][1]) for i in range(9)]  # equal scores
+    asked = [(f"q{i}", text(6)) for i in range(25)] + [("same", "the w1"), ("twin", "w1 the"), ("none", None), ("unknown", "zzz")]
+    df, q = spark.createDataFrame(docs, "id string, t string"), spark.createDataFrame(asked, "qid string, text string")
+    want = {a: v for a, v in _bm25(docs, asked, 5).items() if v}
+
+    def ranked(rows):
+        got = {}
+        for r in rows:
+            got.setdefault(r["qid"], []).append((r["doc"], r["score"]))
+        return {a: sorted(v, key=lambda y: (-y[1], y[0]))[:5] for a, v in got.items()}
+
+    hits = lexical.search(df, "id", "t", q, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # no postings are joined or shuffled
+    near = lambda a: {k: [(d, pytest.approx(s, abs=2e-6)) for d, s in v] for k, v in a.items()}
+    assert ranked(hits.collect()) == near(want)
+    # many blocks of a task, the bound of earlier blocks among them
+    kept = {}
+    scorer = lexical._Scorer
+    monkeypatch.setattr(lexical, "_Scorer", lambda *a: kept.setdefault("s", scorer(*a)))
+    ix = lexical.PostingsIndex(df, "id", "t")
+    lexical.search(None, "id", "t", q, 5, index=ix)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 16)
+    blocks = list(kept["s"](ix._tokens().select("doc", "t", "lens").toArrow().to_batches(16)))
+    assert len(blocks) > 10 and ranked(r for b in blocks for r in b.to_pylist()) == near(want)
+    assert all(len([1 for x in b.column(0).to_pylist() if x == "same"]) <= 5 for b in blocks)
+
+
 def test_dense_search_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
