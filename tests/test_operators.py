@@ -155,6 +155,33 @@ def test_dense_search_against_brute_force(spark):
     assert set(got) == {"v03", "v07"}
 
 
+def test_dense_batches_keep_what_reaches_the_best_so_far(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    names = [f"v{i:03d}" for i in range(390)] + [f"v{i:03d}" for i in range(10)]  # ten ids come again, in other batches
+    df = spark.createDataFrame([(n, [float(v) for v in r]) for n, r in zip(names, x)], "id string, e array<double>").coalesce(1)
+    asked = rng.normal(size=(300, 4))
+    q = spark.createDataFrame([(f"q{i:03d}", [float(v) for v in r]) for i, r in enumerate(asked)], "qid string, vec array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got, rows = {}, vectors.search(df, "id", "e", q, 3).collect()
+        block = [(r["qid"], r["vec"]) for r in q.collect()]
+        moved = vectors._scan(df, "id", "e", block, 3, False).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for r in rows:
+        got.setdefault(r["qid"], {})[r["rank"]] = r["doc"]
+    u, v = x / np.linalg.norm(x, axis=1, keepdims=True), asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    for i in range(300):
+        score = {}
+        for n, s in zip(names, np.round(u @ v[i], 6)):
+            score[n] = max(score.get(n, -9), s)
+        want = sorted(score, key=lambda n: (-score[n], n))[:3]
+        assert [got[f"q{i:03d}"][r] for r in (1, 2, 3)] == want
+    assert moved < 300 * 3 * 20 / 2  # of 20 batches
+
+
 def _hits(spark, rows):
     return spark.createDataFrame(rows, "qid string, doc string, score double, rank int")
 
