@@ -8,10 +8,10 @@ of its lines (by words in prose, items and rows), over function words that join
 character classes; it is assigned to the nearest of the structural profiles of prose, lists and tables. A list
 or table must besides be one in nearly all lines, by definition.
 
-Both kinds of profile are fitted on a bounded sample of at most ``PROFILE_ROWS`` documents with a language label, taken by hash: language
+Both kinds of profile are fitted on all documents with a language label: language
 profiles are medians, so wrong labels and junk do not move them; structural profiles are means over
-the documents whose lines are clearly of one shape. Everything else is one pass over the whole of
-each text, without a shuffle.
+the documents whose lines are clearly of one shape. What a text is judged by is measured in one pass over the whole of
+each text and written as a row of numbers; fitting and judging read these rows. Nothing is shuffled but sums and counts per task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.flat_text import fold_table
 from corpusloom.llm.wordlists import FUNCTION_WORDS
+from corpusloom.session import written
 
-PROFILE_ROWS = 4000
+#: Medians are found in rounds: each cuts the interval that holds one into so many parts, which leaves 2**-40 of a share.
+BINS, ROUNDS = 1024, 4
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Character classes beside the 26 base letters.
 CLASSES = ["digit", "space", "stop", "comma", "other_sign", "other_letter", "bad"]
@@ -192,64 +194,126 @@ def _seen(text: str) -> tuple[str, Counter, list[str], np.ndarray, tuple[float,
     return lang, count, bare, p, shape, structure(shape, common_share - articles, articles, p), common_share, len(lines)
 
 
-def assess(text: str | None, profiles: np.ndarray, structures: np.ndarray | None = None) -> tuple:
-    """Statistics and kind of one text."""
+def measure(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(scalars, characters, shapes, structure)`` of one text: all that :func:`judge` needs."""
     text = text or ""
     words = text.split()
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip()]
     _, count, bare, p, shape, form, common_share, _ = _seen(text)
     k = len(LETTERS)
-    symbols = float(p[k + 4] + p[k + 6])
-    letters = float(p[:k].sum() + p[k + 5])
     stops = sum(1 for x in lines if x.rstrip().rstrip("\"'”’)]»*_").endswith((".", "!", "?", "…", ":", ";"))) / max(1, len(lines))
     mean_len = sum(map(len, words)) / max(1, n)
+    bad = float(p[k + 6]) + text.count("Ã") / max(1, len(text))
+    top_share = max(count.values(), default=0) / max(1, len(bare))
+    lone = n >= 12 and (len(count) <= 3 or top_share > 0.5)
+    mean_run = float(np.mean([len(w) for w in bare])) if bare else 0.0
+    return np.array([n, mean_len, stops, common_share, bad, lone, mean_run, len(text), len(lines)]), p, np.array(shape), form
+
+
+def judge(scalars: np.ndarray, p: np.ndarray, shape: np.ndarray, form: np.ndarray, profiles: np.ndarray, structures: np.ndarray) -> tuple:
+    """Statistics and kind of a measured text."""
+    n, mean_len, stops, common_share, bad, lone, mean_run, size, lines = scalars.tolist()
+    k = len(LETTERS)
+    symbols = float(p[k + 4] + p[k + 6])
+    letters = float(p[:k].sum() + p[k + 5])
     # the nearest language by characters, each divergence less the sampling noise of a short text
-    noise = min(0.3, 8.0 / max(1, len(text)))
+    noise = min(0.3, 8.0 / max(1, size))
     d = float(divergence(p, profiles).min()) if len(profiles) else 0.0
     # list items carry numbers and marks: only their letters are compared
     spelt = p[:k] / max(p[:k].sum(), 1e-9)
     by_letter = float(divergence(spelt, profiles[:, :k] / profiles[:, :k].sum(axis=1, keepdims=True)).min()) if len(profiles) else 0.0
     kind = "prose"
-    bad = float(p[k + 6]) + text.count("Ã") / max(1, len(text))
-    top_share = max(count.values(), default=0) / max(1, len(bare))
-    nearest = _KINDS[int(divergence(form, shape_profiles() if structures is None else structures).argmin())]
-    lone = n >= 12 and (len(count) <= 3 or top_share > 0.5)
-    mean_run = letters and float(np.mean([len(w) for w in bare])) if bare else 0.0
+    nearest = _KINDS[int(divergence(form, structures).argmin())]
+    mean_run = mean_run if letters else 0.0
     if not n or not letters + p[k] or bad > 0.03 or lone:
         kind = "junk"
     elif nearest == "table" and shape[2] >= 0.6:
         kind = "table"
-    elif nearest == "list" and shape[1] >= 0.85 and len(lines) >= 3 and letters > 0.4 and mean_run < 16 and by_letter - noise < 0.16:
+    elif nearest == "list" and shape[1] >= 0.85 and lines >= 3 and letters > 0.4 and mean_run < 16 and by_letter - noise < 0.16:
         kind = "list"
     elif letters < 0.4 or mean_run > 16 or (common_share < 0.08 and d - noise > 0.05) or (common_share < 0.02 and n >= 8):
         kind = "junk"
-    return n, mean_len, symbols, stops, common_share, d, kind
+    return int(n), mean_len, symbols, stops, common_share, d, kind
+
+
+def assess(text: str | None, profiles: np.ndarray, structures: np.ndarray | None = None) -> tuple:
+    """Statistics and kind of one text."""
+    return judge(*measure(text), profiles, shape_profiles() if structures is None else structures)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def fit_profiles(df: DataFrame, text_col: str, lang_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Character profiles of the five languages (medians), and structural profiles of prose, lists and tables, over a bounded sample."""
-    rows = df.select(F.lower(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isin(*FUNCTION_WORDS) & (F.length("text") >= 200))
-    share = min(1.0, 1.2 * PROFILE_ROWS / max(1, df.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def _summed(df: DataFrame, count: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sums of arrays by key over all batches; each task sends one row per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
         for b in batches:
-            seen = [_seen(t) for t in b.column(1).to_pylist()]
-            cols = [pa.array([x.tolist() for x in c], pa.list_(pa.float64())) for c in ([x[3] for x in seen], [np.array(x[4]) for x in seen], [x[5] for x in seen])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["lang", "p", "shape", "form"])
-
-    got = rows.limit(PROFILE_ROWS).mapInArrow(run, "lang string, p array<double>, shape array<double>, form array<double>").toArrow().to_pydict()
-    by: dict[str, list] = {}
-    for lang, p in zip(got["lang"], got["p"]):
-        by.setdefault(lang, []).append(p)
-    medians = [np.median(np.array(ps), axis=0) for _, ps in sorted(by.items()) if len(ps) >= 5]
-    shapes, forms = np.array(got["shape"]).reshape(-1, 3), np.array(got["form"]).reshape(-1, sum(_SIZES))
+            for key, x in count(b).items():
+                total[key] = total[key] + x if key in total else x
+        for key, x in total.items():
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(at), pa.array(x[at].astype(np.float64))], names=["key", "at", "x"])
+
+    got = df.mapInArrow(run, "key string, at long, x double").groupBy("key", "at").agg(F.sum("x").alias("x")).toArrow()
+    out: dict[str, np.ndarray] = {}
+    keys, at, x = np.array(got.column("key").to_pylist(), object), got.column("at").to_numpy(), got.column("x").to_numpy()
+    for key in set(keys.tolist()):
+        own = keys == key
+        out[key] = np.zeros(at[own].max() + 1)
+        out[key][at[own]] = x[own]
+    return out
+
+
+def fit_profiles(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Character profiles of the five languages (medians), and structural profiles of prose, lists and tables (means over clear
+    cases), over all rows of ``measured(lang, fit, p, shape, form)`` that are marked ``fit``."""
+    rows = measured.where("fit").select("lang", "p", "shape", "form")
+    size, width = len(LETTERS) + len(CLASSES), sum(_SIZES)
+
+    def totals(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+        shapes, forms = _matrix(b.column(2)), _matrix(b.column(3))
+        out = {kind: np.append(forms[shapes[:, i] >= CLEAR].sum(axis=0), (shapes[:, i] >= CLEAR).sum()) for i, kind in enumerate(_KINDS)} if b.num_rows else {}
+        langs = np.array(b.column(0).to_pylist(), object)
+        return out | {f"n:{lang}": np.array([(langs == lang).sum()]) for lang in set(langs.tolist())}
+
+    sums = _summed(rows, totals)
+    number = {key[2:]: int(x[0]) for key, x in sorted(sums.items()) if key.startswith("n:") and x[0] >= 5}
     structures = shape_profiles()
-    for i in range(len(_KINDS)):
-        clear = forms[shapes[:, i] >= CLEAR]
-        if len(clear) >= LEAST_CLEAR:
-            structures[i] = clear.mean(axis=0)
+    for i, kind in enumerate(_KINDS):
+        x = sums.get(kind, np.zeros(0))
+        if len(x) > width and x[width] >= LEAST_CLEAR:
+            structures[i] = x[:width] / x[width]
+    # the lower and the upper middle value of each column: where its interval begins, and how many values lie before that
+    cells = {(lang, side): np.zeros(size, np.int64) for lang in number for side in (0, 1)}
+    before = {key: np.zeros(size) for key in cells}
+    for depth in range(1, ROUNDS + 1 if cells else 1):
+        known, scale = dict(cells), BINS**depth
+
+        def bins(b: pa.RecordBatch, known: dict = known, scale: int = scale) -> dict[str, np.ndarray]:
+            langs, p = np.array(b.column(0).to_pylist(), object), np.minimum((_matrix(b.column(1)) * scale).astype(np.int64), scale - 1)
+            out = {}
+            for (lang, side), start in known.items():
+                own = p[langs == lang]
+                row, col = np.nonzero(own // BINS == start)
+                out[f"{lang}:{side}"] = np.bincount(col * BINS + own[row, col] % BINS, minlength=size * BINS)
+            return out
+
+        counts = _summed(rows, bins)
+        for (lang, side), start in cells.items():
+            x = np.zeros(size * BINS)
+            got = counts[f"{lang}:{side}"]
+            x[: len(got)] = got
+            run = np.cumsum(x.reshape(size, BINS), axis=1) + before[lang, side][:, None]
+            rank = (number[lang] - 1 + side) // 2
+            pick = (run <= rank).sum(axis=1)
+            before[lang, side] = np.where(pick > 0, run[np.arange(size), np.maximum(pick - 1, 0)], before[lang, side])
+            cells[lang, side] = start * BINS + pick
+    medians = [(cells[lang, 0] + cells[lang, 1]) / (2 * BINS**ROUNDS) for lang in number]
     return np.array([m / m.sum() for m in medians]), structures
 
 
@@ -261,13 +325,28 @@ def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they are given; ids may be null. An empty table gives an empty table. Other columns are
     ignored.
     """
-    profiles, structures = fit_profiles(df, text_col, lang_col) if lang_col else (np.empty((0, 0)), shape_profiles())
+    label = F.lower(F.col(lang_col).cast("string")) if lang_col else F.lit(None).cast("string")
+    fit = F.coalesce(label.isin(*FUNCTION_WORDS) & (F.length(F.col(text_col).cast("string")) >= 200), F.lit(False))
+    given = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), label.alias("lang"), fit.alias("fit"))
+    parts = ["scalars", "p", "shape", "form"]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [measure(t) for t in b.column(1).to_pylist()]
+            cols = [pa.array([r[i].tolist() for r in rows], pa.list_(pa.float64())) for i in range(len(parts))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *cols], names=["doc_id", "lang", "fit", *parts])
+
+    measured = given.mapInArrow(seen, "doc_id long, lang string, fit boolean, " + ", ".join(f"{c} array<double>" for c in parts))
+    profiles, structures = np.empty((0, 0)), shape_profiles()
+    if lang_col:
+        measured = written(measured)
+        profiles, structures = fit_profiles(measured)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            res = [assess(t, profiles, structures) for t in b.column(1).to_pylist()]
+            res = [judge(*x, profiles, structures) for x in zip(*(_matrix(c) for c in b.columns[1:]))] if b.num_rows else []
             cols = list(zip(*res)) if res else [()] * 7
             types = [pa.int32(), *[pa.float64()] * 5, pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[x.split()[0] for x in _OUT.split(", ")])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _OUT)
+    return measured.select("doc_id", *parts).mapInArrow(run, _OUT)

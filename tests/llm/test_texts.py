@@ -247,3 +247,19 @@ def test_queries_over_the_smallest_tables(spark, sf):
         assert df.columns == columns
         rows = df.collect()
         assert rows and len(rows) == len(set(rows))
+
+
+def test_profiles_are_fitted_on_all_documents(spark):
+    import numpy as np
+
+    line = "the model of the day reads a text and then it says what is in it because we want that "
+    rows = [(i, line * 3 + "q" * (i % 60), "en") for i in range(4500)] + [(9000 + i, line * 3 + "z" * 50, "en") for i in range(4600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = [text_quality.measure(t) for _, t, _ in rows]
+    at = spark.createDataFrame([("en", True, *[x.tolist() for x in m[1:]]) for m in seen], "lang string, fit boolean, p array<double>, shape array<double>, form array<double>")
+    profiles, structures = text_quality.fit_profiles(at)
+    want = np.median(np.array([m[1] for m in seen]), axis=0)
+    assert abs(profiles[0] - want / want.sum()).max() < 1e-11 and profiles[0][25] > 0  # z is in half of all documents
+    clear = np.array([m[3] for m in seen if m[2][0] >= text_quality.CLEAR])
+    assert len(clear) and abs(structures[0] - clear.mean(axis=0)).max() < 1e-12
+    assert text_quality.text_quality(df).count() == len(rows)
