@@ -107,7 +107,7 @@ def semantic_metrics(spark, sf) -> DataFrame:
     asked = table(spark, sf, "test_query")
     q = asked.select(F.col("query_id").alias("qid"), embedding(F.col("question"), ix.embed).alias("vec"))
     own = asked.select(F.col("query_id").alias("qid"), F.col("source_chunk_id").alias("doc")).join(ix.dense, "doc").select("qid", "vec")
-    return E.semantic(_lexical(spark, sf, every=True).where("rank <= 5"), q, ix.dense, own)
+    return E.semantic(_lexical(spark, sf, 5, every=True), q, ix.dense, own)
 
 
 S["semantic_metrics"] = _ALL + f"""{_lex_sql(k=5)}, {embed_sql("chunks", "chunk_id", "chunk_text", "cv")}, {embed_sql("questions", "query_id", "question", "qv")},
@@ -145,7 +145,7 @@ def context_judgements(spark, sf) -> DataFrame:
     """Context precision and relevancy from a judge's rows, here rules: a hit of the source's video is useful, and sentences
     are counted by rank."""
     q = table(spark, sf, "test_query").select(F.col("query_id").alias("qid"), "source_video_id")
-    h = _lexical(spark, sf, every=True).where("rank <= 10").join(q, "qid")
+    h = _lexical(spark, sf, 10, every=True).join(q, "qid")
     useful = F.coalesce(F.split_part("doc", F.lit(":"), F.lit(1)) == F.col("source_video_id"), F.lit(False))
     return E.context_precision(h.select("qid", "rank", useful.alias("useful"), (F.col("rank") % 5).alias("relevant_sentences"), F.lit(3).alias("total_sentences")))
 

@@ -139,6 +139,29 @@ def test_bm25_blocks_against_brute_force(spark, monkeypatch):
     assert all(len([1 for x in b.column(0).to_pylist() if x == "same"]) <= 5 for b in blocks)
 
 
+def test_words_split_by_the_tasks_are_those_of_the_expression(spark):
+    chars = [chr(c) for c in range(1, 0x3100)] + ["\u180e", "\ufeff", "\U0001f600"]
+    odd = [f"a{c}b" for c in chars if not "\x1c" <= c <= "\x1f"]
+    for texts in (["", " ", "a", " a  b ", "x\n\ty ", "e\u0301 \u3000 z", *odd], ["a\x1cb \x1f c\u2028d", "\x1e", *odd]):
+        df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc string, text string").coalesce(1)
+        want = df.select(lexical.tokens(F.col("text"), False)).toArrow().column(0).to_pylist()
+        got = [r for b in lexical._split(iter(df.toArrow().to_batches())) for r in b.to_pylist()]
+        assert [r["t"] for r in got] == want and [r["lens"] for r in got] == [[len(t)] for t in want]
+
+
+def test_index_holds_terms_once_by_document_and_vectors_when_asked(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "Red red pie"), ("d2", None), ("d3", "pie")], "doc string, text string")
+    path = str(tmp_path / "ix")
+    ix = Retriever.build(docs, path, hashing_embedder())
+    assert {r["term"]: r["df"] for r in ix.postings.terms.collect()} == {"red": 1, "pie": 2}
+    assert tuple(ix.postings.totals.first()) == (3, 4 / 3)
+    q = spark.createDataFrame([("q", "pie")], "qid string, text string")
+    assert ix.lexical_hits(q).count() == 2 and not (tmp_path / "ix" / "vectors").exists()  # a lexical search pays for no vectors
+    assert ix.dense_hits(q).count() == 2 and (tmp_path / "ix" / "vectors").exists()
+    again = Retriever.read(spark, path, hashing_embedder())
+    assert again.dense.count() == 3
+
+
 def test_dense_search_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
@@ -209,6 +232,34 @@ def test_context(spark):
     assert got == {"v": ("T", 2, "the first later text"), "unknown": (None, 1, "")}
 
 
+def test_equal_questions_are_searched_once(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import lexical as L
+    from corpusloom.plans import registry
+
+    q = [("q1", "red apple", "a"), ("q2", "blue sky", None), ("q3", "red apple", "b"), ("q4", None, "c"), ("q5", "red apple", None)]
+    rows = [(i, t, f"v{i[0]}", f"{i[0]}:{i}") for i, t in (("a", "um red apple okay pie"), ("b", "the the apple"), ("c", None), ("d", "blue sea"))]
+    cols = ["chunk_index int", "title string", "course string", "playlist_id string", "published_at string", "source string", "chunk_type string", "start_time double", "end_time double", "duration double", "word_count int", "token_estimate int", "embedding_text string", "ingested_at timestamp"]
+    t = spark.createDataFrame([r[:3] + r[3:] for r in rows], "chunk_id string, chunk_text string, video_id string, url string")
+    for c in cols:
+        name, kind = c.split()
+        t = t.withColumn(name, F.lit(None).cast(kind))
+    t.write.parquet(f"{tmp_path}/transcript_v3.parquet")
+    spark.createDataFrame([(a, b, c, None) for a, b, c in q], "query_id string, question string, source_chunk_id string, source_video_id string").write.parquet(f"{tmp_path}/test_query.parquet")
+    asked, search = [], L.search
+    monkeypatch.setattr(L, "search", lambda *a, **k: asked.append(sorted(r["qid"] for r in a[3].collect())) or search(*a, **k))
+    sf, named = str(tmp_path), registry.queries()
+    for name in ("answer_prompts", "context_groups", "merged_context_file", "source_cards", "relevance_lookup"):
+        got = {}
+        for r in named[name](spark, sf).collect():
+            got.setdefault(r["qid"], []).append(tuple(r[1:]))
+        assert set(got) == {"q1", "q2", "q3", "q5"} and sorted(map(len, got.values())) in ([1, 1, 1, 1], [1, 2, 2, 2])
+        if name != "relevance_lookup":  # gains are a question's own
+            assert sorted(got["q1"], key=repr) == sorted(got["q3"], key=repr) == sorted(got["q5"], key=repr)
+    assert asked == [["q1", "q2", "q4"]] * 5
+    gains = {(r["qid"], r["doc"]): r["gain"] for r in named["relevance_lookup"](spark, sf).collect()}
+    assert gains == {("q1", "a"): 2.0, ("q1", "b"): 0.0, ("q2", "d"): 0.0, ("q3", "a"): 0.0, ("q3", "b"): 2.0, ("q5", "a"): 0.0, ("q5", "b"): 0.0}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
     s = reports.summary(df, "v").first()

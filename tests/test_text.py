@@ -1,11 +1,13 @@
 """Golden rows and brute force for the column functions."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import language as L
+from corpusloom.functions import rules as R
 from corpusloom.functions import text as T
 
 
@@ -92,3 +94,16 @@ def test_nulls(spark):
 def test_contains_word_agrees_with_lookaround(spark):
     for t in ("a token.", "tokens", "x-token", "tokén token_", "token"):
         assert one(spark, T.contains_word(F.col("t"), "token"), t=t) == bool(re.search(r"(?<!\w)token(?!\w)", t))
+
+
+def test_context_cleaning_is_that_of_a_boundary_before_each_filler(spark):
+    rng = random.Random(5)
+    bits = [*R.CONTEXT_FILLERS, "UM", "uh.", "um,", "number", "Right", "you", "know", "you  know", "kind", "of", "the", "the", "thé", "the\u0301", "ok\u0131ay", "a\u017fort of", "actuall\u0443", "uh\u0301", "_um", "um_", "x", "1 1", "\n", "-", "\u200d"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", " ", "  "]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace("t", r"\n", " ")
+    for f in R.CONTEXT_FILLERS:
+        plain = F.regexp_replace(plain, rf"(?iU)\b{f}\b", "")
+    plain = T.normalize_space(F.regexp_replace(plain, r"(?U)\b(\w+)( \1\b)+", "$1"))
+    got = df.select("t", T.clean_context(F.col("t")).alias("a"), plain.alias("b"))
+    assert got.where("a <> t").count() > 1000 and got.where("not a <=> b").collect() == []
