@@ -149,6 +149,16 @@ def test_words_split_by_the_tasks_are_those_of_the_expression(spark):
         assert [r["t"] for r in got] == want and [r["lens"] for r in got] == [[len(t)] for t in want]
 
 
+def test_blocks_hold_numbers_of_asked_words_alone(spark):
+    asked = spark.createDataFrame([("q", "pie", 1.0, False), ("q", "sky", 2.0, False)], "qid string, term string, weight double, often boolean")
+    scorer = lexical._Scorer(asked.toArrow(), 2.0, 3)
+    df = spark.createDataFrame([("d1", "red pie sky pie"), ("d2", ""), ("d3", "green"), ("d4", "sky")], "doc string, text string").coalesce(1)
+    got = [r for b in lexical._split(iter(df.toArrow().to_batches())) for r in scorer._coded(b).to_pylist()]
+    words = scorer.vocabulary.to_pylist()
+    assert [[words[i] for i in r["t"]] for r in got] == [["pie", "sky", "pie"], [], [], ["sky"]]
+    assert [r["lens"] for r in got] == [[4], [0], [1], [1]]  # lengths count every word
+
+
 def test_index_holds_terms_once_by_document_and_vectors_when_asked(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "Red red pie"), ("d2", None), ("d3", "pie")], "doc string, text string")
     path = str(tmp_path / "ix")
