@@ -50,10 +50,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def overwrite_jsonl(df: DataFrame, path: str) -> int:
-    """Write and return the number of rows, counted while writing."""
+def overwrite_jsonl(df: DataFrame, path: str, compression: str = "none") -> int:
+    """Write and return the number of rows, counted while writing. Readers know a ``compression`` by the files' names."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path, compression=compression)
     return seen.get["n"]
 
 

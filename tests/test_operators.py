@@ -270,6 +270,20 @@ def test_equal_questions_are_searched_once(spark, tmp_path, monkeypatch):
     assert gains == {("q1", "a"): 2.0, ("q1", "b"): 0.0, ("q2", "d"): 0.0, ("q3", "a"): 0.0, ("q3", "b"): 2.0, ("q5", "a"): 0.0, ("q5", "b"): 0.0}
 
 
+def test_merged_context_file_is_compressed(spark, tmp_path, monkeypatch, sf):
+    """A text is in the context of every question that hits it: as plain lines the file was larger than the tables."""
+    from corpusloom.plans import retrieval
+
+    df = spark.createDataFrame([("a", "x" * 9000), ("b", None)], "k string, t string")
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    assert jsonl.overwrite_jsonl(df, plain) == jsonl.overwrite_jsonl(df, packed, "gzip") == 2
+    assert sorted(map(tuple, jsonl.read_jsonl(spark, packed, df.schema, strict=True).collect())) == sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(retrieval, "checkpoint_dir", lambda s: str(tmp_path))
+    assert retrieval.merged_context_file(spark, sf).count()
+    files = [p for p in tmp_path.glob("contexts-*/part-*") if p.stat().st_size]
+    assert files and all(p.name.endswith(".json.gz") for p in files)
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "v double")
     s = reports.summary(df, "v").first()
